@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillspark.llm import quality, sharding, url_filter
+from quillspark.llm import decontam, html_wrappers, packing, quality, secrets, sharding, simhash, substring_dedup, url_filter
 from quillspark.llm.common import table
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
+def op1_html_wrappers(spark, sf_dir):
+    return html_wrappers.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_quality_rules(spark, sf_dir):
     judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept", "rule")
@@ -19,11 +23,31 @@ def op3_interleaved_shards(spark, sf_dir):
     return sharding.interleave_shards(table(spark, sf_dir, "documents"), 40)
 
 
+def op4_best_fit_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op5_url_filter(spark, sf_dir):
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op6_simhash_classes(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op8_benchmark_overlap(spark, sf_dir):
+    return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_repeated_passages(spark, sf_dir):
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def op10_secret_spans(spark, sf_dir):
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
