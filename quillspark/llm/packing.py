@@ -25,7 +25,7 @@ from quillspark.llm.batches import slices
 from quillspark.llm.common import bucket_count, materialize, ranked
 from quillspark.llm.tokens import encoder
 
-CAPACITY, CLOSE = 2048, 0
+CAPACITY, CLOSE, SLICE = 2048, 0, 12 << 20
 
 
 def default_tokenizer() -> str:
@@ -52,11 +52,11 @@ def pieces_of(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY
 
     def run(batches):
         for batch in batches:
-            for part, texts in slices(batch):
+            for part, texts in slices(batch, most=SLICE):
                 rows = []
                 ids = part.column(0).to_pylist()
                 for doc, tokens in zip(ids, encoder(path or default_tokenizer()).encode(texts)):
-                    tokens = np.append(tokens, np.array([CLOSE], "<u4"))
+                    tokens = np.append(tokens, CLOSE).astype("<u4")
                     rows += [(doc, k, a, n, zlib.crc32(tokens[a : a + n].tobytes())) for k, (a, n) in enumerate(cut(len(tokens), capacity))]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=PIECES.names
