@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillspark.llm import decontam, html_wrappers, packing, quality, secrets, sharding, simhash, substring_dedup, url_filter
+from quillspark.llm import decontam, html_wrappers, lm, packing, quality, secrets, sharding, simhash, substring_dedup, url_filter
 from quillspark.llm.common import table
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -36,6 +36,10 @@ def op6_simhash_classes(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_attention_scores(spark, sf_dir):
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op8_benchmark_overlap(spark, sf_dir):
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
