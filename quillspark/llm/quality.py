@@ -219,8 +219,9 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rules = learn_rules(counts, labels)
     clash = "_quillcounts"
     judged = text_counts(docs, out=clash)
-    fails = F.col("_failed")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     flat = judged.select(F.struct(*columns).alias("_row"), f"{clash}.*")
-    flat = flat.withColumn("_failed", base_failed() | (verdict(rules) != "keep")).where(~fails)
-    return flat.select("_row.*")
+    # A filter on plain columns would be pushed below them, with every count written out as often as it
+    # is used; one that needs a row number stays above.
+    flat = flat.select("_row", (base_failed() | (verdict(rules) != "keep")).alias("_failed"), F.monotonically_increasing_id().alias("_at"))
+    return flat.where(~F.col("_failed") & (F.col("_at") >= 0)).select("_row.*")
