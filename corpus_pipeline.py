@@ -1,8 +1,53 @@
-"""The corpus pipeline (in the making)."""
+"""The corpus pipeline: quality rules, near-duplicates, decontamination, secrets, packing.
 
-STAGES = []
+Every stage takes (spark, docs, sf_dir) and all rows that the one before it kept, and all but the
+last return the columns of documents. The last returns packed pieces (see quillspark.llm.packing)."""
+
+from quillspark.llm import decontam, packing, quality, secrets, simhash
+from quillspark.llm.common import materialize, table
+
+
+def quality_rules(spark, docs, sf_dir):
+    """Rejected documents go."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark, docs, sf_dir):
+    """Of each class of near-duplicates the document with the smallest doc_id stays."""
+    return simhash.one_of_each(docs)
+
+
+def decontamination(spark, docs, sf_dir):
+    """Documents that share windows with two benchmark items or more go."""
+    return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secret_scan(spark, docs, sf_dir):
+    """Secrets are replaced by a mark; all documents stay."""
+    return secrets.redact(docs)
+
+
+def best_fit_packing(spark, docs, sf_dir):
+    """What is left is packed into sequences of 2048 tokens."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("secret_scan", secret_scan),
+    ("best_fit_packing", best_fit_packing),
+]
+
+#: Fingerprints, rules learned from labels and subword ids have no SQL form.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialize(docs, name)
+    return docs
