@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import tempfile
 import uuid
@@ -26,12 +27,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, drop_shuffles: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, survives lost executors,
-    and keeps column pruning for what reads it."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    and keeps column pruning for what reads it.
+
+    drop_shuffles: have the driver collect its garbage, upon which Spark deletes the shuffle files
+    of finished steps; else they wait for the next collection, however much disk they take."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if drop_shuffles:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def ascii_lower(col: Column) -> Column:

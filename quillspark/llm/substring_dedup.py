@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from quillspark.llm.batches import slices
 from quillspark.llm.common import materialize
@@ -140,7 +140,7 @@ def parsed(orders: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, ...]:
     names, which, n = np.unique(t[once], return_inverse=True, return_counts=True)
     hot = once[n[which] > HOT]
     p, kind = t.copy(), np.zeros(len(t), np.int64)
-    p[again] = scrambled(order[again].astype(np.uint64) * BASE ^ x[again].astype(np.uint64))
+    p[again], g[again] = order[again].astype(np.uint64), 0  # dealt out by document, and easy to compress
     kind[again] = KNOWN
     p[hot] = scrambled(t[hot] ^ scrambled(g[hot]))
     kind[hot] = SPREAD
@@ -187,18 +187,18 @@ def judged(rows: DataFrame) -> DataFrame:
     return rows.select("p", "ord", "x", status.alias("status")).where("status IS NOT NULL")
 
 
-CONTEXT = StructType([StructField("p", LongType()), StructField("ord", LongType()), StructField("x", LongType()), StructField("bytes", BinaryType())])
+CONTEXT = longs("p", "ord", "x").add("bytes", "binary").add("spread", "boolean")
 
 
 def contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """p, ord, x and the bytes of the phrases in wanted(p, ord, x)."""
-    lists = wanted.groupBy("ord").agg(F.collect_list(F.struct("p", "x")).alias("wanted"))
+    """p, ord, x, the bytes and whether to spread of the phrases in wanted(p, ord, x, status)."""
+    lists = wanted.groupBy("ord").agg(F.collect_list(F.struct("p", "x", (F.col("status") == "spread").alias("spread"))).alias("wanted"))
     rows = docs.join(lists, "ord").select("ord", "text", "wanted")
 
     def run(batches):
         for batch in batches:
             for part, texts in slices(batch):
-                p, order, xs, found = [], [], [], []
+                p, order, xs, found, spread = [], [], [], [], []
                 lists = part.column(2)
                 for k, text in enumerate(texts):
                     o = part.column(0)[k].as_py()
@@ -208,7 +208,8 @@ def contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                         order.append(o)
                         xs.append(w["x"])
                         found.append(text[at : at + n - 1 + LENGTH])
-                yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(order, pa.int64()), pa.array(xs, pa.int64()), pa.array(found, pa.binary())], names=CONTEXT.names)
+                        spread.append(w["spread"])
+                yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(order, pa.int64()), pa.array(xs, pa.int64()), pa.array(found, pa.binary()), pa.array(spread, pa.bool_())], names=CONTEXT.names)
 
     return rows.mapInArrow(run, CONTEXT)
 
@@ -291,7 +292,7 @@ def spread_ranges(rows: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array(o[which]), pa.array((y >> 16)[which] + nth)], names=["a", "b", "ord", "start"])
 
     each = rows.mapInArrow(run, longs("a", "b", "ord", "start"))
-    each = materialize(each, "strings")
+    each = materialize(each, "strings", drop_shuffles=True)
     first = each.groupBy("a", "b").agg(F.min(F.struct("ord", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     later = each.join(first, ["a", "b"]).where((F.col("ord") != F.col("first.ord")) | (F.col("start") != F.col("first.start")))
     return later.select("ord", "start", (F.col("start") + LENGTH).alias("end"))
@@ -312,15 +313,11 @@ def ordered(docs: DataFrame) -> DataFrame:
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
     """Ranges (ord, start, end) of bytes to remove from docs(ord, text); they may overlap."""
-    found = materialize(judged(parse(docs)), "phrases")
-    n = {r.status: r["count"] for r in found.groupBy("status").count().collect()}
+    found = materialize(judged(parse(docs)), "phrases", drop_shuffles=True)
     place = F.shiftright("x", 16)
     ranges = found.where("status = 'known'").select("ord", place.alias("start"), (place + F.shiftright("x", 9).bitwiseAND(127) - 1 + LENGTH).alias("end"))
-    if n.get("edge"):
-        ranges = ranges.union(edge_ranges(contexts(docs, found.where("status = 'edge'"))))
-    if n.get("spread"):
-        ranges = ranges.union(spread_ranges(contexts(docs, found.where("status = 'spread'"))))
-    return ranges
+    rows = materialize(contexts(docs, found.where("status != 'known'")), "contexts", drop_shuffles=True)
+    return ranges.union(edge_ranges(rows.where("NOT spread"))).union(spread_ranges(rows.where("spread")))
 
 
 def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
