@@ -72,5 +72,20 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM ran
 """
 
 
+LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+BENCH_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), {LETTERS}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+OP8_SQL = f"""
+WITH i AS (SELECT CAST(item_id AS VARCHAR) AS item, {BENCH_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+p AS (SELECT DISTINCT item, least(8, len(w)) AS k, array_to_string(w[a:a + least(8, len(w)) - 1], ' ') AS x FROM i, unnest(range(1, greatest(len(w) - 8, 0) + 2)) AS q(a) WHERE len(w) > 0),
+d AS (SELECT doc_id, {BENCH_WORDS} AS w FROM documents),
+s AS (SELECT doc_id, a, k, array_to_string(w[a:a + k - 1], ' ') AS x FROM d, (SELECT DISTINCT k FROM p), unnest(range(1, len(w) + 1)) AS q(a) WHERE a + k - 1 <= len(w)),
+h AS (SELECT doc_id, a, k, item FROM s JOIN p USING (k, x)),
+n AS (SELECT doc_id, count(DISTINCT b) AS n_hit FROM h, unnest(range(a, a + k)) AS q(b) GROUP BY 1),
+t AS (SELECT doc_id, list_sort(list(DISTINCT item)) AS items FROM h GROUP BY 1)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(items), 0) AS n_items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(len(items), 0) >= 2 AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+
 def oracle_sql():
-    return {"op5_url_filter": OP5_SQL}
+    return {"op5_url_filter": OP5_SQL, "op8_benchmark_overlap": OP8_SQL}
