@@ -39,9 +39,9 @@ from quillspark.llm.batches import slices
 from quillspark.llm.common import materialize
 from quillspark.llm.tokens import encoder, gathered
 
-SAMPLE, HEAD, ROUNDS, PART_TOKENS, RATE = 64, 500_000, 3, 400_000, 0.01
+SAMPLE, HEAD, ROUNDS, PART_TOKENS, RATE = 64, 1_000_000, 2, 400_000, 0.01
 COLUMNS = 256  # most frequent next ids by which kinds of tokens are told apart
-SLICE = 16 << 20
+SLICE = 5 << 20
 PSEUDO = 200.0
 SHARES = [round(0.05 * k, 2) for k in range(1, 20)]
 END_DIGEST = xxhash.xxh64_intdigest(b"") - (1 << 63)
