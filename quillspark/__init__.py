@@ -1,0 +1 @@
+"""Analytics over document records: storage, text, dates, matching, geometry, review, labelling."""
