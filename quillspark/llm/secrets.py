@@ -184,7 +184,8 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """docs, with their columns, every run of secret characters replaced by mark (and n_chars, where
     there is such a column, counted anew). Texts are scanned twice: for the thresholds and to redact."""
-    limits = thresholds(scan(docs.select("text")).select("_scan.*"))
+    # Exploded from a table: a filter on the tokens' size would be pushed below the scan, written out many times.
+    limits = thresholds(materialize(scan(docs.select("text")).select("_scan.tokens"), "tokens"))
     df = scan(docs, "_quillscan")
     keep = [F.col(f"`{c}`") for c in docs.columns]
     df = df.select(*keep, F.array_sort(F.concat("_quillscan.base", discoveries(limits, "_quillscan"))).alias("_quillspans"))
