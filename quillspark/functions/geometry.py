@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillspark.functions.base import let
 from quillspark.schema import BOX
 
 
@@ -33,12 +34,17 @@ def far_bottom(b: Column) -> Column:
 
 def union_of(boxes: Column, fallback: Column | None = None) -> Column:
     """The smallest box around an array of boxes; the fallback, or null, if there is none."""
-    boxes = F.array_compact(boxes)
-    if fallback is not None:
-        boxes = F.when(F.size(boxes) > 0, boxes).otherwise(F.array_compact(F.array(fallback)))
-    low = lambda k: F.array_min(F.transform(boxes, lambda b: _zero(b[k])))
-    around = box(low("left"), low("top"), F.array_max(F.transform(boxes, far_right)), F.array_max(F.transform(boxes, far_bottom)))
-    return F.when(F.size(boxes) > 0, around).otherwise(F.lit(None).cast(BOX))
+
+    def around(v):
+        low = lambda k: F.array_min(F.transform(v, lambda b: _zero(b[k])))
+        sides = low("left"), low("top"), F.array_max(F.transform(v, far_right)), F.array_max(F.transform(v, far_bottom))
+        names = ("left", "top", "right", "bottom")
+        made = let(F.struct(*[x.cast("int").alias(n) for n, x in zip(names, sides)]), lambda x: box(*[x[n] for n in names]))
+        return F.when(F.size(v) > 0, made).otherwise(F.lit(None).cast(BOX))
+
+    if fallback is None:
+        return let(F.array_compact(boxes), around)
+    return let(F.array_compact(boxes), lambda v: let(F.when(F.size(v) > 0, v).otherwise(F.array_compact(F.array(fallback))), around))
 
 
 def union_agg(b: Column) -> Column:
@@ -50,7 +56,10 @@ def union_agg(b: Column) -> Column:
 
 def document_box(boxes: Column, width: Column, height: Column) -> Column:
     """Around the words that have an area, padded and within the image; null if that is nothing."""
-    real = F.filter(boxes, lambda b: (b["width"] > 0) & (b["height"] > 0))
+    return let(F.filter(boxes, lambda b: (b["width"] > 0) & (b["height"] > 0)), lambda real: _padded(real, width, height))
+
+
+def _padded(real: Column, width: Column, height: Column) -> Column:
     left, top = F.array_min(F.transform(real, lambda b: b["left"])), F.array_min(F.transform(real, lambda b: b["top"]))
     right = F.array_max(F.transform(real, lambda b: b["left"] + b["width"]))
     bottom = F.array_max(F.transform(real, lambda b: b["top"] + b["height"]))
