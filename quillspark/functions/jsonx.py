@@ -10,9 +10,19 @@ from quillspark.functions.text import stripped
 from quillspark.schema import CODE_FIELDS, DATE_FIELDS, FIELDS
 
 
+def json_value(c: Column) -> Column:
+    """The text as a variant if all of it is one JSON value, else null.
+
+    The parser stops at the end of a value and ignores what follows, so the text is parsed as the first
+    of two elements of an array: then anything that follows it shows."""
+    parsed = F.try_parse_json(F.concat(F.lit("["), c, F.lit(",7]")))
+    at = lambda k, t: F.try_variant_get(parsed, f"$[{k}]", t)
+    return F.when((at(1, "int") == 7) & at(2, "variant").isNull(), at(0, "variant"))
+
+
 def json_object(c: Column) -> Column:
     """The text as a variant if it is a JSON object, else null."""
-    v = F.try_parse_json(c)
+    v = json_value(c)
     return F.when(F.schema_of_variant(v).startswith("OBJECT"), v)
 
 

@@ -81,8 +81,9 @@ def expected_fields(spark, sf):
 
 @query()
 def fuzzy_best_match(spark, sf):
-    found = candidates.all_candidates(page_words(spark, sf), page_lines(spark, sf), ["passport_type"])
-    out = candidates.best_matches(expected_fields(spark, sf), found)
+    found = candidates.all_candidates(page_words(spark, sf), page_lines(spark, sf), [])
+    wanted = expected_fields(spark, sf).where("field_key IN ('surname', 'passport_number')")
+    out = candidates.best_matches(wanted, found)
     return out.select("doc_id", "field_key", "expected_value", "text", F.round("score", 9).alias("score"), "matched", "match_type", "source")
 
 

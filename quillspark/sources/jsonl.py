@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.functions.jsonx import json_object
+from quillspark.functions.jsonx import json_object, json_value
 from quillspark.functions.text import basename, stripped
 
 
@@ -24,7 +24,7 @@ def entries(df: DataFrame) -> DataFrame:
 
 def strict(df: DataFrame) -> DataFrame:
     """Entries by lower-case name, of several the last; a line that isn't JSON is an error with its number."""
-    bad = (stripped(F.col("value")) != "") & F.try_parse_json("value").isNull()
+    bad = (stripped(F.col("value")) != "") & json_value(F.col("value")).isNull()
     checked = df.withColumn("value", F.when(bad, F.raise_error(F.concat(F.lit("line "), F.col("line_no").cast("string"), F.lit(" isn't JSON")))).otherwise(F.col("value")))
     rows = entries(checked).where("file_name != ''").withColumn("file_name", F.lower("file_name"))
     return rows.groupBy("file_name").agg(F.max_by("entry", "line_no").alias("entry"), F.max("line_no").alias("line_no"))

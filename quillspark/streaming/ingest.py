@@ -11,7 +11,7 @@ BATCH = 50  # files between two checkpoints
 
 def arriving_files(spark: SparkSession, folder: str, batch: int = BATCH) -> DataFrame:
     """path, length, content of files as they come, at most batch of them between two checkpoints."""
-    return spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", batch).load(folder).select("path", "length", "content")
+    return spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", batch).load(folder).select("path", "length", "content")
 
 
 def arriving_lines(spark: SparkSession, folder: str, schema: str, batch: int = BATCH) -> DataFrame:

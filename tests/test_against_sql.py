@@ -46,4 +46,5 @@ def test_same_rows_as_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, name):
     df = QUERIES[name](spark, SF)
-    assert len(df.columns) == len(df.take(1)[0]) if df.take(1) else df.columns
+    rows = df.take(1)
+    assert rows and len(rows[0]) == len(df.columns)
