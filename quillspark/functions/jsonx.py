@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillspark.functions.base import let
 from quillspark.functions.dates import output_date
 from quillspark.functions.text import stripped
 from quillspark.schema import CODE_FIELDS, DATE_FIELDS, FIELDS
@@ -38,9 +39,12 @@ def _inner(c: Column) -> Column:
 
 def fields(c: Column) -> Column:
     """The fixed fields of a record's payload, as a struct of strings; what is missing or null is empty."""
-    inner = _inner(c)
-    inner = F.when(F.schema_of_variant(inner).startswith("OBJECT"), inner)
-    return F.struct(*[F.coalesce(F.try_variant_get(inner, f"$.{f}", "string"), F.lit("")).alias(f) for f in FIELDS])
+
+    def read(inner):
+        value = lambda f: F.try_variant_get(F.when(F.schema_of_variant(inner).startswith("OBJECT"), inner), f"$.{f}", "string")
+        return F.struct(*[F.coalesce(value(f), F.lit("")).alias(f) for f in FIELDS])
+
+    return let(_inner(c), read)
 
 
 def active_fields(extracted: Column, reviewed: Column) -> Column:

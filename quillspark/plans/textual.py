@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillspark.functions import dates, jsonx, text
+from quillspark.functions.base import let
 from quillspark.functions.scores import ratio
 from quillspark.operators import labelling, review
 from quillspark.plans.registry import query, read
@@ -63,11 +64,13 @@ def guessed_fields(spark, sf):
 
 def guessed(raw):
     """The fields that patterns find in a page's text: a number, three dates, a code, a country, a name."""
-    t = text.tidy(raw)
-    upper = F.upper(t)
+    return let(text.tidy(raw), lambda t: let(F.upper(t), lambda upper: _guessed(t, upper)))
+
+
+def _guessed(t, upper):
     lines = F.filter(F.transform(F.split(t, "\n"), text.stripped), lambda x: x != "")
     name = F.array_remove(F.split(F.upper(F.get(lines, F.lit(0))), text.BLANK + "+"), "")
-    found = F.transform(F.regexp_extract_all(t, F.lit(text.DATE), F.lit(0)), dates.normalized)
+    found = F.transform(F.slice(F.regexp_extract_all(t, F.lit(text.DATE), F.lit(0)), 1, 3), dates.normalized)
     country = text.first_match(upper, r"(?U)\b([A-Z]{3})\b", 1)
     at = lambda a, k: F.coalesce(F.get(a, F.lit(k)), F.lit(""))
     return F.struct(
