@@ -74,7 +74,7 @@ def expected_fields(spark, sf):
     d = read(spark, sf, "documents")
     words = F.array_remove(F.split(F.coalesce(F.get(F.split("text", "\n"), F.lit(1)), F.lit("")), " "), "")
     word = lambda k: F.coalesce(F.get(words, F.lit(k)), F.lit(""))
-    values = {"surname": F.concat_ws(" ", word(0), word(1)), "passport_number": word(2), "issuing_country": F.upper(word(3)), "sex": F.lit("F"), "date_of_issue": F.lit("01/02/2020")}
+    values = {"surname": F.concat_ws(" ", word(0), word(1)), "passport_number": word(2), "issuing_country": word(3), "sex": F.lit("F"), "date_of_issue": F.lit("01/02/2020")}
     pairs = F.array(*[F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in values.items()])
     return d.select("doc_id", F.explode(pairs).alias("p")).select("doc_id", F.col("p.k").alias("field_key"), F.col("p.v").alias("expected_value"))
 
