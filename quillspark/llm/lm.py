@@ -6,10 +6,9 @@ token. The model's probability of a word mixes two estimates,
     share * counted(word)  +  (1 - share) * attended(its subword ids | the ids before them)
 
 counted: (c + 0.1) / (N + 0.1 (V + 1)) over all training words; words that training lacks are one
-outcome (c = 0), as in the base score. attended: the attention model of attention.py. Its experts count all training texts; its
-weights are trained on a fixed one in SAMPLE of the training texts (so what is gathered grows with the corpus),
-in parts whose weights are averaged, round by round; the share maximises the likelihood of the same texts, each word's
-own occurrence left out of its count.
+outcome (c = 0), as in the base score. attended: the attention model of attention.py. Its embedding rows, kinds and experts
+count all training texts; its weights are trained on all of them, in parts (drawn by a hash) whose weights are averaged,
+round by round; the share maximises the likelihood of all training texts, each word's own occurrence left out of its count.
 
 Words that aren't among the most frequent HEAD (broadcast, 16 bytes each) meet their counts in a
 join by digest, so no task needs the whole vocabulary. Training texts are those whose
@@ -39,9 +38,11 @@ from quillspark.llm.batches import slices
 from quillspark.llm.common import materialize
 from quillspark.llm.tokens import encoder, gathered
 
-SAMPLE, HEAD, ROUNDS, PART_TOKENS, RATE = 64, 1_000_000, 2, 400_000, 0.01
+HEAD, ROUNDS, PART_TOKENS, RATE = 1_000_000, 3, 400_000, 0.01
+PART_BYTES, PARTS_A_TASK = 4 * PART_TOKENS, 8  # of text; an id has about four bytes
 COLUMNS = 256  # most frequent next ids by which kinds of tokens are told apart
 SLICE = 5 << 20
+STEP = 1 << 20  # ids at a time
 PSEUDO = 200.0
 SHARES = [round(0.05 * k, 2) for k in range(1, 20)]
 END_DIGEST = xxhash.xxh64_intdigest(b"") - (1 << 63)
@@ -53,10 +54,10 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-class Texts:
-    """Some texts as words, and the words as ids: text t's words are words[bounds[t]:bounds[t + 1]] (numbers of distinct words)."""
+class Words:
+    """Some texts as words: text t's words are words[bounds[t]:bounds[t + 1]] (numbers of distinct words)."""
 
-    def __init__(self, texts: list[bytes], path: str):
+    def __init__(self, texts: list[bytes]):
         flat: list[bytes] = []
         sizes = []
         for x in texts:
@@ -68,8 +69,19 @@ class Texts:
         self.bounds = np.concatenate(([0], np.cumsum(self.sizes)))
         self.words = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) if flat else np.empty(0, np.int64)
         self.distinct = coded.dictionary
+
+    def digests(self, which: np.ndarray) -> np.ndarray:
+        chosen = self.distinct.take(pa.array(which)).to_pylist()
+        return np.fromiter((xxhash.xxh64_intdigest(w) - (1 << 63) for w in chosen), np.int64, len(chosen))
+
+
+class Texts(Words):
+    """The same, and the words as ids."""
+
+    def __init__(self, texts: list[bytes], path: str):
+        super().__init__(texts)
         self.end = encoder(path).end
-        ids, lengths = encoder(path).spaced(coded.dictionary.cast(pa.string()))
+        ids, lengths = encoder(path).spaced(self.distinct.cast(pa.string()))
         self.pieces = lengths[self.words]  # ids of every word
         stream, ends = gathered(ids, lengths, self.words)
         total = len(stream)
@@ -84,10 +96,6 @@ class Texts:
         self.before = np.concatenate(([self.end], self.targets[:-1])).astype(np.int32)
         self.is_word = here
 
-    def digests(self, which: np.ndarray) -> np.ndarray:
-        chosen = self.distinct.take(pa.array(which)).to_pylist()
-        return np.fromiter((xxhash.xxh64_intdigest(w) - (1 << 63) for w in chosen), np.int64, len(chosen))
-
 
 def numbered(docs: DataFrame) -> DataFrame:
     """ord (unique), doc_id, held_out, text."""
@@ -105,7 +113,9 @@ def sliced(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[bytes]]
     return slices(batch, "text", SLICE)
 
 
-def sample_ids(sample: DataFrame, path: str) -> DataFrame:
+def training_ids(training: DataFrame, path: str) -> DataFrame:
+    """part, ids of every training text; a part's rows lie side by side in one file."""
+
     def run(batches):
         for batch in batches:
             for part, texts in sliced(batch):
@@ -113,26 +123,60 @@ def sample_ids(sample: DataFrame, path: str) -> DataFrame:
                 offsets = np.concatenate(([0], np.cumsum(t.lengths))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(t.targets))], names=["ord", "ids"])
 
-    return sample.select("ord", "text").mapInArrow(run, "ord bigint, ids array<int>")
+    size = training.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, min(-(-size // PART_BYTES), 1 << 20))
+    rows = training.select("ord", "text").mapInArrow(run, "ord bigint, ids array<int>").withColumn("part", F.pmod(F.xxhash64("ord"), F.lit(parts)))
+    rows = rows.repartition(-(-parts // PARTS_A_TASK), "part").sortWithinPartitions("part", "ord")
+    return materialize(rows.select("part", "ids"), "ids", drop_shuffles=True)
+
+
+def pairs_of(batches, end: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The ids before, and the ids, of batches of whole texts, some at a time."""
+    for batch in batches:
+        ids = batch.column(0).flatten().to_numpy(zero_copy_only=False)
+        for at in range(0, len(ids), STEP):
+            own = ids[at : at + STEP]
+            yield np.concatenate(([ids[at - 1] if at else end], own[:-1])).astype(np.int64), own
+
+
+def summed(ids: DataFrame, cells: int, counted, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and counts over all texts, where counted(before, ids) gives keys below cells."""
+
+    def run(batches):
+        table = np.zeros(cells, np.int32)
+        for before, own in pairs_of(batches, end):
+            np.add.at(table, counted(before, own), 1)
+        some = np.flatnonzero(table)
+        for at in range(0, len(some), STEP):
+            keys = some[at : at + STEP]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(table[keys].astype(np.int64))], names=["key", "n"])
+
+    found = ids.select("ids").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).toArrow()  # cells at most
+    return found["key"].to_numpy(), found["n"].to_numpy()
 
 
 class Kinds:
     """What the model knows of ids: the embedding row and the kind of each."""
 
-    def __init__(self, sample: DataFrame, size: int, seed: int = 1):
-        pairs = sample.select(F.explode(F.expr(f"transform(ids, (x, i) -> struct(coalesce(get(ids, i - 1), {size - 1}) AS a, x AS b))")).alias("p")).select("p.a", "p.b")
-        counts = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")).toPandas()  # a row per id at most
+    def __init__(self, ids: DataFrame, size: int, seed: int = 1):
         n = np.zeros(size)
-        n[counts.b.to_numpy(int)] = counts.n.to_numpy()
+        keys, counts = summed(ids, size, lambda _, own: own, size - 1)
+        n[keys] = counts
         order = np.argsort(-n, kind="stable")
         self.rows = (OWN_ROWS + np.arange(size) % SHARED_ROWS).astype(np.int32)
         self.rows[order[:OWN_ROWS]] = np.arange(min(OWN_ROWS, size))
         columns = [int(x) for x in order[:COLUMNS] if n[x]]
         table = np.zeros((size, COLUMNS), np.float32)
         if columns:
-            after = pairs.where(F.col("b").isin(columns)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).toPandas()  # ids times COLUMNS at most
-            at = {x: k for k, x in enumerate(columns)}
-            table[after.a.to_numpy(int), after.b.map(at).to_numpy(int)] = after.n.to_numpy()
+            at = np.full(size, -1, np.int64)
+            at[columns] = np.arange(len(columns))
+
+            def counted(before, own):
+                k = at[own]
+                return (before * COLUMNS + k)[k >= 0]
+
+            keys, counts = summed(ids, size * COLUMNS, counted, size - 1)
+            table.reshape(-1)[keys] = counts
         self.kinds = clustered(table, n, seed).astype(np.int32)
 
 
@@ -158,29 +202,32 @@ def clustered(table: np.ndarray, n: np.ndarray, seed: int) -> np.ndarray:
     return kinds
 
 
-def corpus_counts(training: DataFrame, kinds: np.ndarray, size: int, path: str) -> DataFrame:
-    """kind, key, n over all training texts: words by digest (kind 0), ids after a kind of id (kind 1:
-    key is kind of the one before times the ids, plus the id)."""
-    shared = training.sparkSession.sparkContext.broadcast(kinds)
+def word_counts(training: DataFrame) -> DataFrame:
+    """key, n over all training texts: words by digest."""
 
-    def rows(kind, keys, n):
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys, pa.int64()), pa.array(n.astype(np.int64))], names=["kind", "key", "n"])
+    def rows(keys, n):
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n.astype(np.int64))], names=["key", "n"])
 
     def run(batches):
-        after = np.zeros(EXPERTS * size, np.int64)
         texts_seen = 0
         for batch in batches:
             for _, texts in sliced(batch):
-                t = Texts(texts, path)
-                after += np.bincount(shared.value[t.before].astype(np.int64) * size + t.targets, minlength=len(after))
+                t = Words(texts)
                 texts_seen += len(texts)
                 n = np.bincount(t.words, minlength=len(t.distinct))
-                yield rows(0, t.digests(np.arange(len(n))), n)
-        yield rows(0, np.array([END_DIGEST] * bool(texts_seen), np.int64), np.array([texts_seen] * bool(texts_seen)))
-        some = np.flatnonzero(after)
-        yield rows(1, some, after[some])
+                yield rows(t.digests(np.arange(len(n))), n)
+        yield rows(np.array([END_DIGEST] * bool(texts_seen), np.int64), np.array([texts_seen] * bool(texts_seen)))
+
+    return training.select("text").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
 
-    return training.select("text").mapInArrow(run, "kind int, key bigint, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+
+def expert_counts(ids: DataFrame, kinds: np.ndarray) -> np.ndarray:
+    """How often each id (column) follows ids of each kind (row) in all training texts."""
+    size = len(kinds)
+    experts = np.zeros((EXPERTS, size), np.float32)
+    keys, n = summed(ids, EXPERTS * size, lambda before, own: kinds[before].astype(np.int64) * size + own, size - 1)
+    experts.reshape(-1)[keys] = n
+    return experts
 
 
 def packed(p: dict[str, np.ndarray]) -> bytes:
@@ -194,34 +241,45 @@ def unpacked(data: bytes) -> dict[str, np.ndarray]:
         return {k: f[k] for k in f.files}
 
 
-def fitted(sample: DataFrame, known: Kinds, experts: np.ndarray, tokens: int) -> dict[str, np.ndarray]:
-    """Weights: in every round the parts of the sample train from the same start, and are averaged."""
-    context = sample.sparkSession.sparkContext
-    parts = max(1, min(-(-tokens // PART_TOKENS), 1 << 20))
-    rows = sample.withColumn("part", F.pmod(F.xxhash64("ord"), F.lit(parts)))
+def by_part(batches) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The ids and the lengths of texts of each part, from batches in which a part's rows lie side by side."""
+    held, ids, lengths = None, [], []
+    for batch in batches:
+        parts = batch.column(0).to_numpy(zero_copy_only=False)
+        cuts = np.concatenate(([0], np.flatnonzero(parts[1:] != parts[:-1]) + 1, [len(parts)]))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            if a == b:
+                continue
+            if ids and parts[a] != held:
+                yield np.concatenate(ids), np.concatenate(lengths)
+                ids, lengths = [], []
+            held, lists = parts[a], batch.column(1).slice(a, b - a)
+            ids.append(lists.flatten().to_numpy(zero_copy_only=False))
+            lengths.append(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
+    if ids:
+        yield np.concatenate(ids), np.concatenate(lengths)
+
+
+def fitted(ids: DataFrame, known: Kinds, experts: np.ndarray) -> dict[str, np.ndarray]:
+    """Weights: in every round the parts of all training texts train from the same start, and are averaged."""
+    context = ids.sparkSession.sparkContext
     p = attention.initial()
-    kinds, rows_of, end = known.kinds, known.rows, len(known.kinds) - 1
-    shared = context.broadcast((kinds, rows_of, experts))
+    shared = context.broadcast((known.kinds, known.rows, experts))
     for turn in range(ROUNDS):
         start = context.broadcast(packed(p))
 
         def run(batches, start=start, turn=turn):
             kinds, rows_of, experts = shared.value
-            p, seen = None, 0
-            for batch in batches:
-                lists = batch.column(0)
-                lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-                ids = lists.flatten().to_numpy(zero_copy_only=False)
-                if not len(ids):
-                    continue
-                before = np.concatenate(([end], ids[:-1]))
-                p = attention.trained(p or unpacked(start.value), rows_of[before], kinds[before], ids, experts, lengths, RATE / (1 + turn))
-                seen += len(ids)
-            if p is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([packed(p)], pa.binary()), pa.array([float(seen)])], names=["p", "w"])
-
-        got = rows.repartition(parts, "part").select("ids").mapInArrow(run, "p binary, w double")
-        got = materialize(got, "weights")
+            first, total, out = unpacked(start.value), 0.0, None
+            for own, lengths in by_part(batches):
+                before = np.concatenate(([len(kinds) - 1], own[:-1]))
+                q = attention.trained(first, rows_of[before], kinds[before], own, experts, lengths, RATE / (1 + turn))
+                total += len(own)
+                out = {k: v * np.float32(len(own)) + (0 if out is None else out[k]) for k, v in q.items()}
+            if out is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([packed({k: v / np.float32(total) for k, v in out.items()})], pa.binary()), pa.array([total])], names=["p", "w"])
+
+        got = materialize(ids.select("part", "ids").mapInArrow(run, "p binary, w double"), "weights")
         while (n := got.count()) > 16:  # averaged in groups, so the driver gets a few
             got = materialize(got.repartition(-(-n // 16)).mapInArrow(mean_of, "p binary, w double"), "weights")
         found = [(unpacked(bytes(r.p)), r.w) for r in got.collect()]
@@ -273,23 +331,14 @@ def mixed(share: float, c: np.ndarray, total: float, attended: np.ndarray) -> np
     return np.log10(share * (c + 0.1) / total + (1 - share) * 10.0**attended)
 
 
-def best_share(sample: DataFrame, counts: DataFrame, model: Model) -> float:
-    """The share under which the sample is likeliest, one occurrence of each word left out."""
-    shared = sample.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches):
-        for batch in batches:
-            for _, texts in sliced(batch):
-                t = Texts(texts, shared.value.path)
-                own, _ = shared.value.attended(t)
-                digests = t.digests(np.arange(len(t.distinct)))
-                yield pa.RecordBatch.from_arrays([pa.array(digests[t.words]), pa.array(own)], names=["key", "lp"])
-
-    rows = sample.select("text").mapInArrow(run, "key bigint, lp double").join(counts, "key")
-    counted = (F.col("n") - 0.9) / model.total()
-    sums = rows.agg(*[F.sum(F.log10(s * counted + (1 - s) * F.pow(F.lit(10.0), "lp"))).alias(f"s{k}") for k, s in enumerate(SHARES)]).first()
-    found = [sums[f"s{k}"] for k in range(len(SHARES))]
-    return SHARES[int(np.argmax(found))] if found[0] is not None else 0.5
+def best_share(rows: DataFrame, total: float) -> int:
+    """The number of the share under which all training texts are likeliest, one occurrence of each word left out."""
+    counted = (F.col("c") - 0.9) / total
+    rare = ~F.col("is_text") & ~F.col("held_out")
+    likely = lambda s: F.when(rare, F.log10(s * counted + (1 - s) * F.pow(F.lit(10.0), "own")))
+    sums = rows.agg(*[F.sum(F.when(F.col("is_text"), F.get("fit", F.lit(k))).otherwise(likely(s))).alias(f"s{k}") for k, s in enumerate(SHARES)]).first()
+    found = [sums[f"s{k}"] or 0.0 for k in range(len(SHARES))]
+    return int(np.argmax(found)) if any(found) else SHARES.index(0.5)
 
 
 def score(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -298,20 +347,15 @@ def score(docs: DataFrame, path: str | None = None) -> DataFrame:
     spark = docs.sparkSession
     docs = numbered(docs)
     training = docs.where("NOT held_out")
-    sample = training.where(F.pmod(F.xxhash64("ord"), F.lit(SAMPLE)) == 0)
-    ids = materialize(sample_ids(sample, path), "sample")
+    ids = training_ids(training, path)
     size = encoder(path).end + 1
     known = Kinds(ids, size)
-    counts = materialize(corpus_counts(training, known.kinds, size, path), "counts", drop_shuffles=True)
-
-    experts = np.zeros((EXPERTS, size), np.float32)
-    after = counts.where("kind = 1").select("key", F.col("n").alias("n")).toArrow()  # EXPERTS times the ids at most
-    experts.reshape(-1)[after["key"].to_numpy()] = after["n"].to_numpy()
+    experts = expert_counts(ids, known.kinds)
     whole = experts.sum(0) + 0.01
     experts += PSEUDO * whole / whole.sum()
     experts = np.ascontiguousarray((experts / experts.sum(1, keepdims=True)).T)
 
-    words = counts.where("kind = 0").select("key", "n")
+    words = materialize(word_counts(training), "counts", drop_shuffles=True)
     n, v = (x or 0 for x in words.agg(F.sum("n"), F.count(F.lit(1))).first())
     often = words.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).limit(HEAD).collect()
     least, have = math.inf, 0
@@ -323,15 +367,12 @@ def score(docs: DataFrame, path: str | None = None) -> DataFrame:
     head = words.where(F.col("n") >= least).toArrow() if least < math.inf else None
     keys, values = (head["key"].to_numpy(), head["n"].to_numpy()) if head else (np.empty(0, np.int64),) * 2
     order = np.argsort(keys)
-    weights = fitted(ids, known, experts, ids.agg(F.sum(F.size("ids"))).first()[0] or 0)
-    model = Model(known, experts, weights, (keys[order], values[order]), n, v, path)
-    share = best_share(sample, words, model)
-    shared = spark.sparkContext.broadcast(model)
-    return scored(docs, words.where(F.col("n") < least) if least < math.inf else words, shared, share)
+    model = Model(known, experts, fitted(ids, known, experts), (keys[order], values[order]), n, v, path)
+    return scored(docs, words.where(F.col("n") < least) if least < math.inf else words, spark.sparkContext.broadcast(model))
 
 
-def scored(docs: DataFrame, tail: DataFrame, shared, share: float) -> DataFrame:
-    """A row per text with what its frequent words give, and a row per other word, which meets its count."""
+def scored(docs: DataFrame, tail: DataFrame, shared) -> DataFrame:
+    """A row per text with what its frequent words give under every share, and a row per other word, which meets its count."""
     total = shared.value.total()
     end = int(shared.value.counts(np.array([END_DIGEST]))[0])
     if not end:
@@ -348,12 +389,18 @@ def scored(docs: DataFrame, tail: DataFrame, shared, share: float) -> DataFrame:
                 digests = t.digests(np.arange(len(t.distinct)))
                 c = model.counts(digests)[t.words]
                 base = np.where(c > 0, np.log10((c + 0.1) / total), 0.0)
-                joint = np.where(c > 0, mixed(share, c, total, own), 0.0)
+                often = np.flatnonzero(c > 0)
                 doc = np.repeat(np.arange(len(texts)), t.sizes)
                 sums = lambda x: np.bincount(doc, x, minlength=len(texts))
                 last = np.full(len(texts), end)
                 order = part.column(0).to_numpy(zero_copy_only=False)
                 rare = np.flatnonzero(c == 0)
+                held_out = part.column(2).to_numpy(zero_copy_only=False).astype(bool)
+                per_text = lambda x: np.bincount(doc[often], x, minlength=len(texts))
+                joint = np.stack([per_text(mixed(s, c[often], total, own[often])) + mixed(s, last, total, ends) for s in SHARES], 1)
+                # A training word is counted itself; max() is for held-out ones, whose fit isn't used.
+                fit = np.stack([per_text(mixed(s, np.maximum(c[often] - 1, 0), total, own[often])) for s in SHARES], 1) * ~held_out[:, None]
+                lists = lambda x: pa.ListArray.from_arrays(pa.array(np.concatenate((np.arange(len(texts) + 1) * len(SHARES), np.full(len(rare), x.size))).astype(np.int32)), pa.array(x.reshape(-1), pa.float64()))
                 none = np.zeros(len(rare))
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -361,21 +408,26 @@ def scored(docs: DataFrame, tail: DataFrame, shared, share: float) -> DataFrame:
                         pa.array(np.concatenate((order, digests[t.words[rare]]))),  # texts are dealt out as words are
                         pa.array(np.concatenate((np.ones(len(texts), bool), np.zeros(len(rare), bool)))),
                         pa.concat_arrays([part.column(1), pa.nulls(len(rare), part.column(1).type)]),
-                        pa.concat_arrays([part.column(2), pa.nulls(len(rare), pa.bool_())]),
+                        pa.array(np.concatenate((held_out, held_out[doc[rare]]))),
                         pa.array(np.concatenate((t.sizes + 1, none.astype(np.int64)))),
                         pa.array(np.concatenate((sums(c > 0) + (last > 0), none)).astype(np.int64)),
                         pa.array(np.concatenate((sums(base) + np.log10((last + 0.1) / total), none))),
-                        pa.array(np.concatenate((sums(joint) + mixed(share, last, total, ends), own[rare]))),
+                        pa.array(np.concatenate((np.zeros(len(texts)), own[rare]))),
+                        lists(joint),
+                        lists(fit),
                     ],
-                    names=["ord", "key", "is_text", "doc_id", "held_out", "n_tokens", "n_known", "base", "joint"],
+                    names=["ord", "key", "is_text", "doc_id", "held_out", "n_tokens", "n_known", "base", "own", "joint", "fit"],
                 )
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("ord", "doc_id", "held_out", "text").mapInArrow(run, f"ord bigint, key bigint, is_text boolean, doc_id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, base double, joint double")
+    rows = docs.select("ord", "doc_id", "held_out", "text").mapInArrow(run, f"ord bigint, key bigint, is_text boolean, doc_id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, base double, own double, joint array<double>, fit array<double>")
     rows = rows.join(tail.select("key", F.col("n").alias("c")), "key", "left").withColumn("c", F.when(~F.col("is_text"), F.coalesce("c", F.lit(0))))
+    rows = materialize(rows, "rows", drop_shuffles=True)
+    chosen = best_share(rows, total)
+    share = SHARES[chosen]
     counted = (F.col("c") + 0.1) / total
     base = F.when(F.col("is_text"), F.col("base")).when(F.col("c") > 0, F.log10(counted)).otherwise(unknown)
-    joint = F.when(F.col("is_text"), F.col("joint")).otherwise(F.log10(share * counted + (1 - share) * F.pow(F.lit(10.0), "joint")))
+    joint = F.when(F.col("is_text"), F.get("joint", F.lit(chosen))).otherwise(F.log10(share * counted + (1 - share) * F.pow(F.lit(10.0), "own")))
     known = F.when(F.col("is_text"), F.col("n_known")).otherwise((F.col("c") > 0).cast("long"))
     out = rows.select("ord", "doc_id", "held_out", "n_tokens", known.alias("n_known"), base.alias("base"), joint.alias("joint"))
     return out.groupBy("ord").agg(

@@ -292,6 +292,13 @@ def test_attention_scores_of_rare_words(spark, odd, monkeypatch):
     assert sorted((r.doc_id or -1, round(r.base_score, 6), round(r.score, 4), r.n_known) for r in lm.score(odd).collect()) == want
 
 
+def test_attention_learns_from_all_training_texts(spark, monkeypatch):
+    seen, fitted = [], lm.fitted
+    monkeypatch.setattr(lm, "fitted", lambda ids, *rest: seen.append(ids.count()) or fitted(ids, *rest))
+    rows = lm.score(spark.createDataFrame([(i, f"word {i} and some more") for i in range(40)], "doc_id long, text string")).collect()
+    assert seen == [sum(not r.held_out for r in rows)]
+
+
 def test_attention_windows_score_every_token_once():
     lengths = np.array([1, 31, 32, 33, 57, 200])
     places, there, scored = attention.windows(lengths)
