@@ -160,10 +160,10 @@ def token_f1(spark, sf):
 
 @query()
 def matching_blocks(spark, sf):
-    """The ratio of matching blocks of neighbouring turns' first lines; an Arrow function."""
-    c = read(spark, sf, "conversations").withColumn("line", F.substring_index("text", "\n", 1))
-    b = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("line").alias("other"))
-    return c.join(b, ["conv_id", "turn"]).select("conv_id", "turn", F.round(ratio(F.col("line"), F.col("other")), 9).alias("ratio"))
+    """The ratio of matching blocks of neighbouring turns' texts; an Arrow function."""
+    c = read(spark, sf, "conversations")
+    b = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("other"))
+    return c.join(b, ["conv_id", "turn"]).select("conv_id", "turn", F.round(ratio(F.col("text"), F.col("other")), 9).alias("ratio"))
 
 
 @query("SELECT page_id, sha256(html) || '.jpg' AS content_key, sha256(url || '::' || html) AS pair FROM pages")
