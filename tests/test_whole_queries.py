@@ -5,6 +5,15 @@ from difflib import SequenceMatcher
 from quillspark.plans.catalog import QUERIES
 
 
+def test_fuzzy_best_match_covers_all_fields(spark, tmp_path):
+    text = "Passport PO\nANNA MARIA X1234567 UTO\nF 01/02/2020\nANNA MARIE X1234567"
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.field_key: r for r in QUERIES["fuzzy_best_match"](spark, str(tmp_path)).collect()}
+    assert sorted(rows) == ["date_of_issue", "issuing_country", "passport_number", "sex", "surname"]
+    assert {k: (r.score, r.matched) for k, r in rows.items()} == {k: (1.0, True) for k in rows}
+    assert rows["date_of_issue"].match_type == "date"
+
+
 def test_matching_blocks_of_whole_turns(spark, tmp_path):
     texts = ["same\nabc def", "same\nxyz abc", "other\nabc def"]
     spark.createDataFrame([(1, k, x) for k, x in enumerate(texts)], "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
