@@ -4,8 +4,8 @@ A fingerprint is mapped to the bit counts of its 32 segments of two bits. The Ma
 of two such vectors is a lower bound of the Hamming distance, so vectors further apart than the
 limit can't be linked. Eight groups of four segments span the grid: vectors within a distance of 4
 agree in at least four groups, so any four of the eight make a cell (70 cells per fingerprint) and
-linked fingerprints meet in one of them. Within a cell, the lower bound comes first, then the exact
-distance; a cell's members are joined to the first of their class instead of in all pairs, and a
+linked fingerprints meet in one of them. Within a cell of two, the lower bound comes first, then the exact
+distance (larger cells take the exact one alone); members are joined to the first of their class instead of in all pairs, and a
 cell of over CELL members is dealt out as pairs of blocks. Classes grow together by the
 large-star and small-star steps over distributed edges.
 
