@@ -49,6 +49,8 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 VOID = frozenset("area base br col embed hr input link meta param source track".split())
 #: Elements whose end may be left out; they are tokens but never hold others open.
 LOOSE = frozenset("p li dt dd tr td th thead tbody tfoot option colgroup h1 h2 h3 h4 h5 h6".split())
+#: Elements that may hold the whole article, whatever their class says.
+WHOLE = frozenset("html body main article".split())
 ASIDE = frozenset("head title nav footer aside form button dialog menu fieldset".split())
 #: Words of classes, ids and roles that mark what isn't the article.
 MARKED = re.compile(
@@ -68,6 +70,7 @@ class Page:
         self.links: list[int] = []
         buffer: list[str] = []
         linked = in_link = 0
+        opened: dict[str, list[bool]] = {}  # inline elements by name: whether their tags are symbols
 
         def flush() -> None:
             nonlocal linked
@@ -95,10 +98,16 @@ class Page:
             end = bool(m[2] if m[3] else m[5])
             attributes = (m[4] if m[3] else m[7]) or ""
             marks = "" if end or not attributes else marked(attributes)
-            if name in INLINE and not marks:
+            if name in WHOLE and marks == "!":
+                marks = ""
+            if name in INLINE:
                 if name == "a":
                     in_link = 0 if end else 1
-                continue
+                own = opened.setdefault(name, [])
+                if not end and name not in VOID:
+                    own.append(bool(marks))
+                if not (own.pop() if end and own else marks):
+                    continue
             if name == "br" or name in VOID:
                 buffer.append(" ")
                 continue

@@ -292,6 +292,13 @@ def test_attention_scores_of_rare_words(spark, odd, monkeypatch):
     assert sorted((r.doc_id or -1, round(r.base_score, 6), round(r.score, 4), r.n_known) for r in lm.score(odd).collect()) == want
 
 
+def test_marked_inline_elements_end_and_whole_elements_stay():
+    text = lambda x: html_wrappers.extracted(html_wrappers.Page(x), None)
+    assert text('<article><p>A <a class="share">x</a> B</p><p>C</p></article>') == "A B C"
+    assert text('<article><p>A <span class="share">x <span>y</span> z</span> B</p><p>C</p></article>') == "A B C"
+    assert text('<body class="has-sidebar"><article class="post no-comments"><p>A</p></article></body>') == "A"
+
+
 def test_attention_learns_from_all_training_texts(spark, monkeypatch):
     seen, fitted = [], lm.fitted
     monkeypatch.setattr(lm, "fitted", lambda ids, *rest: seen.append(ids.count()) or fitted(ids, *rest))
