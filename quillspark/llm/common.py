@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import math
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: A key is hot if it has more than one in so many rows; there are fewer hot keys than this.
+HOT_SHARE = 256
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -18,28 +22,74 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where
-    that is unset (single-machine runs such as tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a folder of
+    our own if driver and executors are one process (as in tests); on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = getattr(spark, "_quill_shared", None) or tempfile.mkdtemp(prefix="quill-")
-        spark._quill_shared = found
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = getattr(spark, "_quill_shared", None)
+        if not found:
+            found = spark._quill_shared = tempfile.mkdtemp(prefix="quill-")
+            atexit.register(shutil.rmtree, found, ignore_errors=True)
     return found.rstrip("/")
 
 
 def materialize(df: DataFrame, label: str, drop_shuffles: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, survives lost executors,
-    and keeps column pruning for what reads it.
+    and keeps column pruning for what reads it. The table goes when the driver ends, or by release().
 
     drop_shuffles: have the driver collect its garbage, upon which Spark deletes the shuffle files
     of finished steps; else they wait for the next collection, however much disk they take."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    files, at = file_system(spark, path)
+    files.deleteOnExit(at)
     if drop_shuffles:
         gc.collect()
         spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quill_path = path
+    return out
+
+
+def file_system(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def release(df: DataFrame) -> None:
+    """Delete the table that materialize() made for df. Only for one whose every reader is itself a written table."""
+    files, at = file_system(df.sparkSession, df._quill_path)
+    files.delete(at, True)
+
+
+def carried(df: DataFrame, *names: str) -> DataFrame:
+    """The rows of df as one struct, row, beside some of its columns: whatever else df has cannot clash
+    with the names that an operator needs. row.* gives them back."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[F.col(f"`{c}`") for c in names])
+
+
+def looked_up(rows: DataFrame, table: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """rows joined (inner or left) with table, which has a row per key and, in n, how many of rows have it.
+
+    Hot keys, fewer than HOT_SHARE, are broadcast, so that their rows need not meet in one task; rows
+    without a key meet nothing. rows is read up to four times, so it should be a table."""
+    hot = table.where(F.col("n") * HOT_SHARE > rows.count()).collect()
+    some = rows.where(F.col(key).isNotNull())
+    parts = [some.join(table, key, how)]
+    if hot:
+        known = rows.sparkSession.createDataFrame(hot, table.schema)
+        is_hot = F.col(key).isin([r[key] for r in hot])
+        parts = [some.where(~is_hot).join(table, key, how), some.where(is_hot).join(F.broadcast(known), key)]
+    if how == "left":
+        parts.append(rows.where(F.col(key).isNull()).withColumns({f.name: F.lit(None).cast(f.dataType) for f in table.schema if f.name != key}))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def ascii_lower(col: Column) -> Column:
