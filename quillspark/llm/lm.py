@@ -7,16 +7,20 @@ token. The model's probability of a word mixes two estimates,
 
 counted: (c + 0.1) / (N + 0.1 (V + 1)) over all training words; words that training lacks are one
 outcome (c = 0), as in the base score. attended: the attention model of attention.py. Its embedding rows, kinds and experts
-count all training texts; its weights are trained on all of them, in parts (drawn by a hash) whose weights are averaged,
-round by round; the share maximises the likelihood of all training texts, each word's own occurrence left out of its count.
-
-Words that aren't among the most frequent HEAD (broadcast, 16 bytes each) meet their counts in a
-join by digest, so no task needs the whole vocabulary. Training texts are those whose
+count all training texts; its weights are trained on all windows of all training texts, once, in parts (drawn by a
+hash of the row, about PART_BYTES of text each) from one start, and averaged; the share maximises the likelihood of all
+training texts, each word's own occurrence left out of its count.
+
+Texts become ids once, in a table dealt out by part and sorted, so that neither the parts nor the order in them depend on
+how the input is laid out. All later steps read that table. Words are known by a 64-bit digest of their ids, which
+spell them. Those that aren't among the most frequent HEAD (broadcast, 16 bytes each) meet their counts
+in a join, so no task needs the whole vocabulary. Training texts are those whose
 crc32(doc_id as text) mod 10 isn't 0; a null doc_id counts as the text "null".
 
-Defined cases: a null or empty text is its end token; rows with one doc_id, or none, are scored each
-on its own; no training texts leave uniform experts and no known words; an empty table gives an
-empty result; other columns are not read.
+Defined cases: a null or empty text is its end token; a very long text is a slice of its own, scored whole in overlapping
+windows; rows with one doc_id, or none, are scored each on its own; words that tie in frequency at the end of the head all
+stay out of it; no training texts leave uniform experts and no known words; an empty table gives an empty
+result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,24 +32,24 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm import attention
 from quillspark.llm.attention import EXPERTS, OWN_ROWS, SHARED_ROWS
 from quillspark.llm.batches import slices
-from quillspark.llm.common import materialize
+from quillspark.llm.common import materialize, release
 from quillspark.llm.tokens import encoder, gathered
 
-HEAD, ROUNDS, PART_TOKENS, RATE = 1_000_000, 3, 400_000, 0.01
-PART_BYTES, PARTS_A_TASK = 4 * PART_TOKENS, 8  # of text; an id has about four bytes
+HEAD, RATE = 1_000_000, 0.02
+PART_BYTES, PARTS_A_TASK = 4 << 20, 4  # of text; an id has about two and a half bytes
 COLUMNS = 256  # most frequent next ids by which kinds of tokens are told apart
-SLICE = 5 << 20
+SLICE = 4 << 20  # bytes of text
 STEP = 1 << 20  # ids at a time
 PSEUDO = 200.0
-SHARES = [round(0.05 * k, 2) for k in range(1, 20)]
-END_DIGEST = xxhash.xxh64_intdigest(b"") - (1 << 63)
+SHARES = [round(0.1 * k, 1) for k in range(1, 10)]
+FIRST = 1 << 24  # added to a word's first id
+ODD, ODD2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
 def default_tokenizer() -> str:
@@ -54,47 +58,49 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-class Words:
-    """Some texts as words: text t's words are words[bounds[t]:bounds[t + 1]] (numbers of distinct words)."""
-
-    def __init__(self, texts: list[bytes]):
-        flat: list[bytes] = []
-        sizes = []
-        for x in texts:
-            own = x.lower().split()
-            flat += own
-            sizes.append(len(own))
-        coded = pa.array(flat, pa.binary()).dictionary_encode()
-        self.sizes = np.array(sizes, np.int64)
-        self.bounds = np.concatenate(([0], np.cumsum(self.sizes)))
-        self.words = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) if flat else np.empty(0, np.int64)
-        self.distinct = coded.dictionary
-
-    def digests(self, which: np.ndarray) -> np.ndarray:
-        chosen = self.distinct.take(pa.array(which)).to_pylist()
-        return np.fromiter((xxhash.xxh64_intdigest(w) - (1 << 63) for w in chosen), np.int64, len(chosen))
-
-
-class Texts(Words):
-    """The same, and the words as ids."""
-
-    def __init__(self, texts: list[bytes], path: str):
-        super().__init__(texts)
-        self.end = encoder(path).end
-        ids, lengths = encoder(path).spaced(self.distinct.cast(pa.string()))
-        self.pieces = lengths[self.words]  # ids of every word
-        stream, ends = gathered(ids, lengths, self.words)
-        total = len(stream)
-        after = np.concatenate(([0], ends))[self.bounds]
-        # Every text as ids with the end token; the inputs are one place behind.
-        self.lengths = np.diff(after) + 1
-        stops = np.cumsum(self.lengths) - 1
-        self.targets = np.empty(total + len(texts), np.int32)
-        here = np.ones(len(self.targets), bool)
-        here[stops] = False
-        self.targets[here], self.targets[stops] = stream, self.end
-        self.before = np.concatenate(([self.end], self.targets[:-1])).astype(np.int32)
-        self.is_word = here
+def ids_of(texts: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """All texts as ids end to end, each with its end token, and their lengths. The end is a word as well."""
+    flat: list[bytes] = []
+    sizes = []
+    for x in texts:
+        own = x.lower().split()
+        flat += own
+        sizes.append(len(own))
+    coded = pa.array(flat, pa.binary()).dictionary_encode()
+    words = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) if flat else np.empty(0, np.int64)
+    ids, lengths = encoder(path).spaced(coded.dictionary.cast(pa.string()))
+    ids = ids.astype(np.int32)
+    if len(ids):
+        ids[np.cumsum(lengths) - lengths] += FIRST
+    stream, ends = gathered(ids, lengths, words)
+    bounds = np.concatenate(([0], np.cumsum(np.array(sizes, np.int64))))
+    after = np.concatenate(([0], ends))[bounds]
+    out_lengths = np.diff(after) + 1
+    stops = np.cumsum(out_lengths) - 1
+    out = np.empty(len(stream) + len(texts), np.int32)
+    here = np.ones(len(out), bool)
+    here[stops] = False
+    out[here], out[stops] = stream, encoder(path).end + FIRST
+    return out, out_lengths
+
+
+def scrambled(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * ODD
+    x = (x ^ (x >> np.uint64(27))) * ODD2
+    return x ^ (x >> np.uint64(31))
+
+
+def word_starts(ids: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(ids >= FIRST)
+
+
+def word_keys(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A digest of each word, from its ids."""
+    if not len(starts):
+        return np.empty(0, np.int64)
+    place = np.arange(len(ids), dtype=np.uint64) - np.repeat(starts, np.diff(starts, append=len(ids))).astype(np.uint64)
+    each = scrambled((ids & (FIRST - 1)).astype(np.uint64) + (place << np.uint64(20)) + np.uint64(1))
+    return scrambled(np.add.reduceat(each, starts)).view(np.int64)
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -109,34 +115,41 @@ def numbered(docs: DataFrame) -> DataFrame:
     return docs.select("ord", "doc_id", (F.crc32(F.encode(name, "UTF-8")) % 10 == 0).alias("held_out"), "text")
 
 
-def sliced(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    return slices(batch, "text", SLICE)
-
-
-def training_ids(training: DataFrame, path: str) -> DataFrame:
-    """part, ids of every training text; a part's rows lie side by side in one file."""
+def tokenized(docs: DataFrame, path: str) -> DataFrame:
+    """part, ord, doc_id, held_out, ids of every row; a part's rows lie side by side in one file, by ord."""
 
     def run(batches):
         for batch in batches:
-            for part, texts in sliced(batch):
-                t = Texts(texts, path)
-                offsets = np.concatenate(([0], np.cumsum(t.lengths))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(t.targets))], names=["ord", "ids"])
-
-    size = training.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, min(-(-size // PART_BYTES), 1 << 20))
-    rows = training.select("ord", "text").mapInArrow(run, "ord bigint, ids array<int>").withColumn("part", F.pmod(F.xxhash64("ord"), F.lit(parts)))
+            for part, texts in slices(batch, "text", SLICE):
+                ids, lengths = ids_of(texts, path)
+                offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], names=["ord", "doc_id", "held_out", "ids"])
+
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, -(-size // PART_BYTES))
+    schema = f"ord bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, ids array<int>"
+    rows = docs.mapInArrow(run, schema).withColumn("part", F.pmod(F.xxhash64("ord"), F.lit(parts)))
     rows = rows.repartition(-(-parts // PARTS_A_TASK), "part").sortWithinPartitions("part", "ord")
-    return materialize(rows.select("part", "ids"), "ids", drop_shuffles=True)
+    return materialize(rows.select("part", "ord", "doc_id", "held_out", "ids"), "ids", drop_shuffles=True)
+
 
+def flat_ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of a column of lists, and the lists' lengths."""
+    return column.flatten().to_numpy(zero_copy_only=False), pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
 
-def pairs_of(batches, end: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The ids before, and the ids, of batches of whole texts, some at a time."""
+
+def cut_batches(batches, place: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Rows of batches, with the ids (in column place) and their lengths, about STEP ids at a time; a longer text is one alone."""
     for batch in batches:
-        ids = batch.column(0).flatten().to_numpy(zero_copy_only=False)
-        for at in range(0, len(ids), STEP):
-            own = ids[at : at + STEP]
-            yield np.concatenate(([ids[at - 1] if at else end], own[:-1])).astype(np.int64), own
+        if not batch.num_rows:
+            continue
+        total = np.cumsum(pc.list_value_length(batch.column(place)).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < len(total):
+            until = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + STEP, side="right")))
+            part = batch.slice(at, until - at)
+            yield part, *flat_ids(part.column(place))
+            at = until
 
 
 def summed(ids: DataFrame, cells: int, counted, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -144,8 +157,9 @@ def summed(ids: DataFrame, cells: int, counted, end: int) -> tuple[np.ndarray, n
 
     def run(batches):
         table = np.zeros(cells, np.int32)
-        for before, own in pairs_of(batches, end):
-            np.add.at(table, counted(before, own), 1)
+        for _, own, _ in cut_batches(batches, 0):
+            own = own & (FIRST - 1)
+            np.add.at(table, counted(np.concatenate(([end], own[:-1])), own), 1)  # a text starts after an end
         some = np.flatnonzero(table)
         for at in range(0, len(some), STEP):
             keys = some[at : at + STEP]
@@ -173,7 +187,7 @@ class Kinds:
 
             def counted(before, own):
                 k = at[own]
-                return (before * COLUMNS + k)[k >= 0]
+                return (before.astype(np.int64) * COLUMNS + k)[k >= 0]
 
             keys, counts = summed(ids, size * COLUMNS, counted, size - 1)
             table.reshape(-1)[keys] = counts
@@ -202,25 +216,6 @@ def clustered(table: np.ndarray, n: np.ndarray, seed: int) -> np.ndarray:
     return kinds
 
 
-def word_counts(training: DataFrame) -> DataFrame:
-    """key, n over all training texts: words by digest."""
-
-    def rows(keys, n):
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n.astype(np.int64))], names=["key", "n"])
-
-    def run(batches):
-        texts_seen = 0
-        for batch in batches:
-            for _, texts in sliced(batch):
-                t = Words(texts)
-                texts_seen += len(texts)
-                n = np.bincount(t.words, minlength=len(t.distinct))
-                yield rows(t.digests(np.arange(len(n))), n)
-        yield rows(np.array([END_DIGEST] * bool(texts_seen), np.int64), np.array([texts_seen] * bool(texts_seen)))
-
-    return training.select("text").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-
-
 def expert_counts(ids: DataFrame, kinds: np.ndarray) -> np.ndarray:
     """How often each id (column) follows ids of each kind (row) in all training texts."""
     size = len(kinds)
@@ -241,8 +236,19 @@ def unpacked(data: bytes) -> dict[str, np.ndarray]:
         return {k: f[k] for k in f.files}
 
 
-def by_part(batches) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The ids and the lengths of texts of each part, from batches in which a part's rows lie side by side."""
+def word_counts(ids: DataFrame) -> DataFrame:
+    """key, n over all texts of ids: words by digest."""
+
+    def run(batches):
+        for _, own, _ in cut_batches(batches, 0):
+            keys, n = np.unique(word_keys(own, word_starts(own)), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n.astype(np.int64))], names=["key", "n"])
+
+    return ids.select("ids").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def by_part(batches) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Each part with the ids and the lengths of its texts, from batches in which a part's rows lie side by side."""
     held, ids, lengths = None, [], []
     for batch in batches:
         parts = batch.column(0).to_numpy(zero_copy_only=False)
@@ -251,84 +257,86 @@ def by_part(batches) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             if a == b:
                 continue
             if ids and parts[a] != held:
-                yield np.concatenate(ids), np.concatenate(lengths)
+                yield int(held), np.concatenate(ids), np.concatenate(lengths)
                 ids, lengths = [], []
-            held, lists = parts[a], batch.column(1).slice(a, b - a)
-            ids.append(lists.flatten().to_numpy(zero_copy_only=False))
-            lengths.append(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
+            held = parts[a]
+            own, n = flat_ids(batch.column(1).slice(a, b - a))
+            ids.append(own & (FIRST - 1))
+            lengths.append(n)
     if ids:
-        yield np.concatenate(ids), np.concatenate(lengths)
+        yield int(held), np.concatenate(ids), np.concatenate(lengths)
+
+
+WEIGHTS = "part bigint, p binary, w double"
 
 
 def fitted(ids: DataFrame, known: Kinds, experts: np.ndarray) -> dict[str, np.ndarray]:
-    """Weights: in every round the parts of all training texts train from the same start, and are averaged."""
-    context = ids.sparkSession.sparkContext
-    p = attention.initial()
-    shared = context.broadcast((known.kinds, known.rows, experts))
-    for turn in range(ROUNDS):
-        start = context.broadcast(packed(p))
-
-        def run(batches, start=start, turn=turn):
-            kinds, rows_of, experts = shared.value
-            first, total, out = unpacked(start.value), 0.0, None
-            for own, lengths in by_part(batches):
-                before = np.concatenate(([len(kinds) - 1], own[:-1]))
-                q = attention.trained(first, rows_of[before], kinds[before], own, experts, lengths, RATE / (1 + turn))
-                total += len(own)
-                out = {k: v * np.float32(len(own)) + (0 if out is None else out[k]) for k, v in q.items()}
-            if out is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([packed({k: v / np.float32(total) for k, v in out.items()})], pa.binary()), pa.array([total])], names=["p", "w"])
-
-        got = materialize(ids.select("part", "ids").mapInArrow(run, "p binary, w double"), "weights")
-        while (n := got.count()) > 16:  # averaged in groups, so the driver gets a few
-            got = materialize(got.repartition(-(-n // 16)).mapInArrow(mean_of, "p binary, w double"), "weights")
-        found = [(unpacked(bytes(r.p)), r.w) for r in got.collect()]
-        if found:
-            total = sum(w for _, w in found)
-            p = {k: sum(q[k] * np.float32(w / total) for q, w in found) for k in p}
-    return p
-
-
-def mean_of(batches):
-    total, out = 0.0, None
+    """Weights: every part of the training texts trains from the same start; the mean by length, in order of parts."""
+    first = attention.initial()
+    shared = ids.sparkSession.sparkContext.broadcast((known.kinds, known.rows, experts))
+
+    def run(batches):
+        kinds, rows_of, experts = shared.value
+        for part, own, lengths in by_part(batches):
+            before = np.concatenate(([len(kinds) - 1], own[:-1]))
+            q = attention.trained(first, rows_of[before], kinds[before], own, experts, lengths, RATE)
+            yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([packed(q)], pa.binary()), pa.array([float(len(own))])], names=["part", "p", "w"])
+
+    got = materialize(ids.select("part", "ids").mapInArrow(run, WEIGHTS), "weights")
+    while (n := got.count()) > 16:  # averaged in groups, so the driver gets a few
+        groups = -(-n // 16)
+        dealt = got.withColumn("part", F.pmod("part", F.lit(groups))).repartition(groups, "part").sortWithinPartitions("part", "w", "p")
+        got = materialize(dealt.mapInArrow(means, WEIGHTS), "weights")
+    found = [(r.w, unpacked(bytes(r.p))) for r in got.orderBy("part").collect()]
+    total = sum(w for w, _ in found)
+    return {k: sum(q[k] * np.float32(w / total) for w, q in found) for k in first} if found else first
+
+
+def means(batches):
+    """A row per part: the mean of its weights."""
+    held, total, out = None, 0.0, None
+
+    def row():
+        return pa.RecordBatch.from_arrays([pa.array([held]), pa.array([packed({k: v / np.float32(total) for k, v in out.items()})], pa.binary()), pa.array([total])], names=["part", "p", "w"])
+
     for b in batches:
-        for data, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+        for part, data, w in zip(*(b.column(i).to_pylist() for i in range(3))):
+            if out is not None and part != held:
+                yield row()
+                total, out = 0.0, None
             q = unpacked(data)
-            total += w
-            out = {k: v * np.float32(w) for k, v in q.items()} if out is None else {k: out[k] + v * np.float32(w) for k, v in q.items()}
+            held, total = part, total + w
+            out = {k: v * np.float32(w) + (0 if out is None else out[k]) for k, v in q.items()}
     if out is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([packed({k: v / np.float32(total) for k, v in out.items()})], pa.binary()), pa.array([total])], names=["p", "w"])
+        yield row()
 
 
 class Model:
     """What scoring needs on the executors, all of bounded size."""
 
-    def __init__(self, known: Kinds, experts: np.ndarray, weights: dict[str, np.ndarray], head: tuple[np.ndarray, np.ndarray], n: int, v: int, path: str):
+    def __init__(self, known: Kinds, experts: np.ndarray, weights: dict[str, np.ndarray], head: tuple[np.ndarray, np.ndarray], n: int, v: int):
         self.rows, self.kinds, self.experts, self.weights, self.head = known.rows, known.kinds, experts, weights, head
-        self.n, self.v, self.path = n, v, path
+        self.n, self.v = n, v
 
     def total(self) -> float:
         return self.n + 0.1 * (self.v + 1)
 
-    def attended(self, t: Texts) -> tuple[np.ndarray, np.ndarray]:
-        """log10 of the probability of every word, and of every text's end."""
-        token = attention.log10_probabilities(self.weights, (self.rows[t.before], self.kinds[t.before]), t.targets, self.experts, t.lengths)
-        own = token[t.is_word]
-        sums = np.concatenate(([0.0], np.cumsum(own)))
-        ends = np.concatenate(([0], np.cumsum(t.pieces)))
-        return sums[ends[1:]] - sums[ends[:-1]], token[~t.is_word]
+    def tokens(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """log10 of the probability of every id."""
+        own = ids & (FIRST - 1)
+        before = np.concatenate(([len(self.kinds) - 1], own[:-1]))
+        return attention.log10_probabilities(self.weights, (self.rows[before], self.kinds[before]), own, self.experts, lengths)
 
-    def counts(self, digests: np.ndarray) -> np.ndarray:
+    def counts(self, keys: np.ndarray) -> np.ndarray:
         """Of words by digest; 0 where the head lacks them."""
-        keys, n = self.head
-        if not len(keys):
-            return np.zeros(len(digests), np.int64)
-        at = np.minimum(np.searchsorted(keys, digests), len(keys) - 1)
-        return np.where(keys[at] == digests, n[at], 0)
+        have, n = self.head
+        if not len(have):
+            return np.zeros(len(keys), np.int64)
+        at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
+        return np.where(have[at] == keys, n[at], 0)
 
 
-def mixed(share: float, c: np.ndarray, total: float, attended: np.ndarray) -> np.ndarray:
-    return np.log10(share * (c + 0.1) / total + (1 - share) * 10.0**attended)
+LOG10 = 1 / math.log(10)
 
 
 def best_share(rows: DataFrame, total: float) -> int:
@@ -344,13 +352,11 @@ def best_share(rows: DataFrame, total: float) -> int:
 def score(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs."""
     path = path or default_tokenizer()
-    spark = docs.sparkSession
-    docs = numbered(docs)
-    training = docs.where("NOT held_out")
-    ids = training_ids(training, path)
+    ids = tokenized(numbered(docs), path)
+    training = ids.where("NOT held_out")
     size = encoder(path).end + 1
-    known = Kinds(ids, size)
-    experts = expert_counts(ids, known.kinds)
+    known = Kinds(training, size)
+    experts = expert_counts(training, known.kinds)
     whole = experts.sum(0) + 0.01
     experts += PSEUDO * whole / whole.sum()
     experts = np.ascontiguousarray((experts / experts.sum(1, keepdims=True)).T)
@@ -367,62 +373,57 @@ def score(docs: DataFrame, path: str | None = None) -> DataFrame:
     head = words.where(F.col("n") >= least).toArrow() if least < math.inf else None
     keys, values = (head["key"].to_numpy(), head["n"].to_numpy()) if head else (np.empty(0, np.int64),) * 2
     order = np.argsort(keys)
-    model = Model(known, experts, fitted(ids, known, experts), (keys[order], values[order]), n, v, path)
-    return scored(docs, words.where(F.col("n") < least) if least < math.inf else words, spark.sparkContext.broadcast(model))
+    model = Model(known, experts, fitted(training, known, experts), (keys[order], values[order]), n, v)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return scored(ids, words.where(F.col("n") < least) if least < math.inf else words, shared)
 
 
-def scored(docs: DataFrame, tail: DataFrame, shared) -> DataFrame:
+def scored(ids: DataFrame, tail: DataFrame, shared) -> DataFrame:
     """A row per text with what its frequent words give under every share, and a row per other word, which meets its count."""
     total = shared.value.total()
-    end = int(shared.value.counts(np.array([END_DIGEST]))[0])
-    if not end:
-        found = tail.where(F.col("key") == END_DIGEST).first()
-        end = found.n if found else 0
     unknown = math.log10(0.1 / total)
 
     def run(batches):
         model = shared.value
-        for batch in batches:
-            for part, texts in sliced(batch):
-                t = Texts(texts, model.path)
-                own, ends = model.attended(t)
-                digests = t.digests(np.arange(len(t.distinct)))
-                c = model.counts(digests)[t.words]
-                base = np.where(c > 0, np.log10((c + 0.1) / total), 0.0)
-                often = np.flatnonzero(c > 0)
-                doc = np.repeat(np.arange(len(texts)), t.sizes)
-                sums = lambda x: np.bincount(doc, x, minlength=len(texts))
-                last = np.full(len(texts), end)
-                order = part.column(0).to_numpy(zero_copy_only=False)
-                rare = np.flatnonzero(c == 0)
-                held_out = part.column(2).to_numpy(zero_copy_only=False).astype(bool)
-                per_text = lambda x: np.bincount(doc[often], x, minlength=len(texts))
-                joint = np.stack([per_text(mixed(s, c[often], total, own[often])) + mixed(s, last, total, ends) for s in SHARES], 1)
-                # A training word is counted itself; max() is for held-out ones, whose fit isn't used.
-                fit = np.stack([per_text(mixed(s, np.maximum(c[often] - 1, 0), total, own[often])) for s in SHARES], 1) * ~held_out[:, None]
-                lists = lambda x: pa.ListArray.from_arrays(pa.array(np.concatenate((np.arange(len(texts) + 1) * len(SHARES), np.full(len(rare), x.size))).astype(np.int32)), pa.array(x.reshape(-1), pa.float64()))
-                none = np.zeros(len(rare))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate((order, order[doc[rare]]))),
-                        pa.array(np.concatenate((order, digests[t.words[rare]]))),  # texts are dealt out as words are
-                        pa.array(np.concatenate((np.ones(len(texts), bool), np.zeros(len(rare), bool)))),
-                        pa.concat_arrays([part.column(1), pa.nulls(len(rare), part.column(1).type)]),
-                        pa.array(np.concatenate((held_out, held_out[doc[rare]]))),
-                        pa.array(np.concatenate((t.sizes + 1, none.astype(np.int64)))),
-                        pa.array(np.concatenate((sums(c > 0) + (last > 0), none)).astype(np.int64)),
-                        pa.array(np.concatenate((sums(base) + np.log10((last + 0.1) / total), none))),
-                        pa.array(np.concatenate((np.zeros(len(texts)), own[rare]))),
-                        lists(joint),
-                        lists(fit),
-                    ],
-                    names=["ord", "key", "is_text", "doc_id", "held_out", "n_tokens", "n_known", "base", "own", "joint", "fit"],
-                )
-
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("ord", "doc_id", "held_out", "text").mapInArrow(run, f"ord bigint, key bigint, is_text boolean, doc_id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, base double, own double, joint array<double>, fit array<double>")
+        for part, own, lengths in cut_batches(batches, 3):
+            n_texts = len(lengths)
+            starts = word_starts(own)
+            keys = word_keys(own, starts)
+            attended = np.add.reduceat(model.tokens(own, lengths), starts)
+            c = model.counts(keys)
+            doc = np.searchsorted(np.cumsum(lengths), starts, side="right")
+            often, rare = np.flatnonzero(c > 0), np.flatnonzero(c == 0)
+            doc_often, c_often, p_often = doc[often], c[often], 10.0 ** attended[often]
+            per_text = lambda x: np.bincount(doc_often, x, minlength=n_texts)
+            held_out = part.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            mixed = lambda s, n: per_text(np.log(s * (n + 0.1) / total + (1 - s) * p_often)) * LOG10
+            joint = np.stack([mixed(s, c_often) for s in SHARES], 1)
+            fit = np.stack([mixed(s, np.maximum(c_often - 1, 0)) for s in SHARES], 1) * ~held_out[:, None]  # a training word is counted itself
+            lists = lambda x: pa.ListArray.from_arrays(pa.array(np.concatenate((np.arange(n_texts + 1) * len(SHARES), np.full(len(rare), x.size))).astype(np.int32)), pa.array(x.reshape(-1), pa.float64()))
+            none = np.zeros(len(rare))
+            order = part.column(0).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate((order, order[doc[rare]]))),
+                    pa.array(np.concatenate((order, keys[rare]))),  # texts are dealt out as words are
+                    pa.array(np.concatenate((np.ones(n_texts, bool), np.zeros(len(rare), bool)))),
+                    pa.concat_arrays([part.column(1), pa.nulls(len(rare), part.column(1).type)]),
+                    pa.array(np.concatenate((held_out, held_out[doc[rare]]))),
+                    pa.array(np.concatenate((np.bincount(doc, minlength=n_texts), none.astype(np.int64)))),
+                    pa.array(np.concatenate((np.bincount(doc_often, minlength=n_texts), none.astype(np.int64)))),
+                    pa.array(np.concatenate((per_text(np.log((c_often + 0.1) / total) * LOG10), none))),
+                    pa.array(np.concatenate((np.zeros(n_texts), attended[rare]))),
+                    lists(joint),
+                    lists(fit),
+                ],
+                names=["ord", "key", "is_text", "doc_id", "held_out", "n_tokens", "n_known", "base", "own", "joint", "fit"],
+            )
+
+    id_type = ids.schema["doc_id"].dataType.simpleString()
+    rows = ids.select("ord", "doc_id", "held_out", "ids").mapInArrow(run, f"ord bigint, key bigint, is_text boolean, doc_id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, base double, own double, joint array<double>, fit array<double>")
     rows = rows.join(tail.select("key", F.col("n").alias("c")), "key", "left").withColumn("c", F.when(~F.col("is_text"), F.coalesce("c", F.lit(0))))
     rows = materialize(rows, "rows", drop_shuffles=True)
+    release(ids)
     chosen = best_share(rows, total)
     share = SHARES[chosen]
     counted = (F.col("c") + 0.1) / total

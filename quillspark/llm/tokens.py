@@ -64,7 +64,10 @@ class Encoder:
         """The ids of distinct chunks, each with a space before it: all ids, and how many each has."""
         odd = pc.match_substring_regex(chunks, f"^{WHITE}|{WHITE}$|^$").to_numpy(zero_copy_only=False)
         plain = chunks if not odd.any() else chunks.filter(pa.array(~odd))
-        ids = np.array(self.encoding.encode_ordinary(" " + " ".join(plain.to_pylist())) if len(plain) else [], np.int32)
+        ids = np.empty(0, np.int32)
+        if len(plain):
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(plain)], pa.int32()), plain), " ")[0].as_py()
+            ids = self.encoding.encode_to_numpy(" " + joined, disallowed_special=()).astype(np.int32)
         bytes_until = np.cumsum(pc.binary_length(plain).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
         ends = np.searchsorted(np.cumsum(self.sizes[ids], dtype=np.int64), bytes_until) + 1
         if not odd.any():
