@@ -1,14 +1,20 @@
 """The corpus pipeline: quality rules, near-duplicates, decontamination, secrets, packing.
 
 Every stage takes (spark, docs, sf_dir) and all rows that the one before it kept, and all but the
-last return the columns of documents. The last returns packed pieces (see quillspark.llm.packing)."""
+last return the columns of documents. The last returns packed pieces (see quillspark.llm.packing).
+
+Defined cases, in all stages: an empty table gives an empty one; nulls in lang, source and n_chars pass through; columns
+beyond those of documents are kept by all stages but the last, whatever their names. A null text fails the quality rules' base
+rule and goes; given to the other stages it has no words (near-duplicates: fingerprint zero, like all empty texts, of which one
+stays), no windows, no secrets, and packs as its closing id. Repeated rows are judged alike by the quality rules,
+decontamination and the secret scan; of repeated rows near-duplicates keep one; packing places each."""
 
 from quillspark.llm import decontam, packing, quality, secrets, simhash
 from quillspark.llm.common import materialize, table
 
 
 def quality_rules(spark, docs, sf_dir):
-    """Rejected documents go."""
+    """Documents that the base rule or a learned rule rejects go."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
@@ -18,7 +24,7 @@ def near_duplicates(spark, docs, sf_dir):
 
 
 def decontamination(spark, docs, sf_dir):
-    """Documents that share windows with two benchmark items or more go."""
+    """Documents with a whole window of eight words of a benchmark item, or with windows of two items, go."""
     return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
