@@ -4,17 +4,19 @@ A fingerprint is mapped to the bit counts of its 32 segments of two bits. The Ma
 of two such vectors is a lower bound of the Hamming distance, so vectors further apart than the
 limit can't be linked. Eight groups of four segments span the grid: vectors within a distance of 4
 agree in at least four groups, so any four of the eight make a cell (70 cells per fingerprint) and
-linked fingerprints meet in one of them. Within a cell of two, the lower bound comes first, then the exact
-distance (larger cells take the exact one alone); members are joined to the first of their class instead of in all pairs, and a
-cell of over CELL members is dealt out as pairs of blocks. Classes grow together by the
-large-star and small-star steps over distributed edges.
+linked fingerprints meet in one of them. Within a cell the lower bound comes first, then the exact
+distance; members are joined to the first of their class instead of in all pairs, and a
+cell of over CELL members is dealt out by a hash as pairs of blocks. Classes grow together by the
+large-star and small-star steps over distributed edges, until nothing changes; nodes with over 1 in
+HOT_SHARE of all edges (so few that they can be broadcast) never meet their edges in one task.
 
 Only distinct fingerprints enter the search, so exact copies cost nothing.
 
-Defined cases: a null, empty or wordless text has fingerprint zero and is linked like any other;
-repeated rows and repeated doc_ids are rows of their own with the same class; a null doc_id gets a
-class but never names one while its class has another; an empty table gives an empty result; extra
-columns are left alone.
+Defined cases: a null, empty or wordless text has fingerprint zero and is linked like any other; a very long text is
+hashed whole, some shingles at a time; a bit that half the shingles set (a tie) is 0; repeated rows and repeated
+doc_ids are rows of their own with the same class, and of those that tie for the smallest doc_id one_of_each keeps
+one; a null doc_id gets a class but never names one while its class has another; an empty table gives
+an empty result; extra columns, whatever their names, are carried in a struct and left alone.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from quillspark.llm.batches import append
-from quillspark.llm.common import materialize
+from quillspark.llm.common import HOT_SHARE, carried, looked_up, materialize
 
 SHINGLE, SEED, DISTANCE, GROUPS, CELL = 4, 42, 4, 8, 2048
 BITS_AT_ONCE = 1 << 16
@@ -57,41 +59,43 @@ def with_fingerprints(docs: DataFrame, out: str = "_fingerprint") -> DataFrame:
     return append(docs, [StructField(out, LongType())], lambda texts: [pa.array([fingerprint(x) for x in texts], pa.int64())])
 
 
+def counts_of_pairs(x: np.ndarray) -> np.ndarray:
+    """Bit counts of the 32 segments of two bits, each in unary in its two bits: 00, 01 or 11."""
+    low = np.uint64(0x5555555555555555)
+    half = x >> np.uint64(1)
+    return ((x | half) & low) | ((x & half & low) << np.uint64(1))
+
+
+def manhattan(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distance of two vectors of counts in unary."""
+    return np.bitwise_count(a ^ b)
+
+
 def linked(cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges from the first member of each class to its others; linked are members within DISTANCE."""
-    rest, roots, ends = np.unique(cell).view(np.uint64), [], []
+    rest = np.unique(cell).view(np.uint64)
+    counts, roots, ends = counts_of_pairs(rest), [], []
     while len(rest) > 1:
-        root, rest = rest[0], rest[1:]
-        front = [root]
+        root = rest[0]
+        front = [(root, counts[0])]
+        rest, counts = rest[1:], counts[1:]
         while front and len(rest):
-            near = np.bitwise_count(rest ^ front.pop()) <= DISTANCE
-            if near.any():
+            one, own = front.pop()
+            near = np.flatnonzero(manhattan(counts, own) <= DISTANCE)  # the lower bound, then the distance itself
+            near = near[np.bitwise_count(rest[near] ^ one) <= DISTANCE]
+            if len(near):
                 reached = rest[near]
-                front.extend(reached)
+                front.extend(zip(reached, counts[near]))
                 ends.append(reached)
                 roots.append(np.full(len(reached), root, np.uint64))
-                rest = rest[~near]
+                left = np.ones(len(rest), bool)
+                left[near] = False
+                rest, counts = rest[left], counts[left]
     if not ends:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     return np.concatenate(roots).view(np.int64), np.concatenate(ends).view(np.int64)
 
 
-def counts_of_pairs(x: np.ndarray) -> np.ndarray:
-    """Bit counts of the 32 segments of two bits, each in its two bits."""
-    return x - ((x >> np.uint64(1)) & np.uint64(0x5555555555555555))
-
-
-def manhattan(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Distance of two packed vectors of counts 0, 1 and 2."""
-    low = np.uint64(0x5555555555555555)
-    out = np.zeros(len(a), np.int64)
-    a_two, b_two = (a >> np.uint64(1)) & low, (b >> np.uint64(1)) & low
-    a_one, b_one = a & low, b & low
-    out += np.bitwise_count((a_one | a_two) ^ (b_one | b_two))  # at least one
-    out += np.bitwise_count(a_two ^ b_two)  # at least two
-    return out
-
-
 def cell_edges(batches):
     """Rows (cell, i, j, fp), sorted by the first three: edges within each run of equal (cell, i, j)."""
     held: list[np.ndarray] | None = None
@@ -128,63 +132,78 @@ def cell_edges(batches):
 
 def links(fingerprints: DataFrame) -> DataFrame:
     """Edges (u, v) that connect the distinct values of the column fp as their links do."""
-    packed = F.expr("((fp ^ shiftrightunsigned(fp, 1)) & 6148914691236517205L) | shiftleft(fp & shiftrightunsigned(fp, 1) & 6148914691236517205L, 1)")
+    unary = F.expr("((fp | shiftrightunsigned(fp, 1)) & 6148914691236517205L) | shiftleft(fp & shiftrightunsigned(fp, 1) & 6148914691236517205L, 1)")
     masks = [sum(0xFF << (8 * g) for g in some) for some in combinations(range(GROUPS), GROUPS - DISTANCE)]
     masks = [m - (1 << 64) if m >> 63 else m for m in masks]
-    cells = F.explode(F.transform(F.lit(masks), lambda m: F.xxhash64(F.col("_packed").bitwiseAND(m), m))).alias("cell")
-    rows = fingerprints.select("fp", packed.alias("_packed")).select("fp", cells)
-    by = Window.partitionBy("cell")
-    rows = rows.withColumn("n", F.count(F.lit(1)).over(by)).withColumn("k", F.row_number().over(by.orderBy("fp")) - 1).where("n > 1")
-    pairs = F.expr(
-        f"CASE WHEN n <= {CELL} THEN array(struct(0 AS i, 0 AS j)) ELSE transform(sequence(0, cast((n - 1) div {CELL} AS int)), "
-        f"b -> struct(least(b, k div {CELL}) AS i, greatest(b, k div {CELL}) AS j)) END"
-    )
-    rows = rows.select("cell", "fp", F.explode(pairs).alias("p")).select("cell", F.col("p.i").cast("int").alias("i"), F.col("p.j").cast("int").alias("j"), "fp")
-    rows = rows.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
+    cells = F.explode(F.transform(F.lit(masks), lambda m: F.xxhash64(F.col("counts").bitwiseAND(m), m))).alias("cell")
+    rows = fingerprints.select("fp", unary.alias("counts")).select("fp", cells)
+    large = materialize(rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CELL), "cells")
+    ordinary, none = rows, F.lit(0)
+    some = large.agg(F.max("n")).first()[0]
+    if some:
+        ordinary = rows.join(large, "cell", "left_anti")
+    by = Window.partitionBy("cell")  # of CELL rows at most
+    rows_of = ordinary.withColumn("n", F.count(F.lit(1)).over(by)).where("n > 1").select("cell", none.alias("i"), none.alias("j"), "fp")
+    if some:
+        blocks = F.expr(f"cast(ceil(n / {CELL}) AS int)")
+        split = rows.join(large, "cell").select("cell", "fp", blocks.alias("m")).withColumn("b", F.pmod(F.xxhash64("fp", F.lit(17)), F.col("m")).cast("int"))
+        pairs = F.explode(F.expr("transform(sequence(0, m - 1), x -> struct(least(x, b) AS i, greatest(x, b) AS j))"))
+        rows_of = rows_of.unionByName(split.select("cell", "fp", pairs.alias("p")).select("cell", F.col("p.i").alias("i"), F.col("p.j").alias("j"), "fp"))
+    rows_of = rows_of.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
     schema = StructType([StructField("u", LongType()), StructField("v", LongType())])
-    return rows.mapInArrow(cell_edges, schema).where("u != v").distinct()
+    return rows_of.mapInArrow(cell_edges, schema).where("u != v").distinct()
 
 
-def classes(edges: DataFrame, most: int = 40) -> DataFrame:
+def classes(edges: DataFrame) -> DataFrame:
     """node, root (the smallest node that it is connected with) for every node of edges (u, v)."""
     edges = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "edges")
-    state = None
-    for _ in range(most):
-        both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m"))
-        edges = materialize(small.where("u != v").distinct(), "edges")
+    spark, state = edges.sparkSession, None
+    while True:
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         state = now
-    raise RuntimeError(f"classes still change after {most} rounds")
+        both = edges.union(edges.select("v", "u"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        # Nodes with very many edges, fewer than 2 * HOT_SHARE of them, meet their least neighbour by a broadcast.
+        hot = least.where(F.col("n") * HOT_SHARE > 2 * now[0]).select("u", "m").collect()
+        known = spark.createDataFrame(hot, "u bigint, m bigint") if hot else None
+        is_hot = F.col("u").isin([r.u for r in hot])
+
+        def met(rows, table, of_hot, known=known, is_hot=is_hot):
+            if known is None:
+                return rows.join(table, "u")
+            return rows.where(~is_hot).join(table, "u").unionByName(rows.where(is_hot).join(F.broadcast(of_hot), "u"))
+
+        large = met(both, least.select("u", "m"), known).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = met(large, least, least.where(is_hot)).select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m"))
+        edges = materialize(small.where("u != v").distinct(), "edges")
 
 
 def near_classes(prints: DataFrame) -> DataFrame:
-    """fp, component_id for the distinct fp of prints(doc_id, fp)."""
-    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "prints")
+    """fp, component_id, root, n (rows with this fp) for the distinct fp of prints(doc_id, fp)."""
+    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies")), "prints")
     roots = classes(links(distinct))
-    own = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    return own.join(own.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select("fp", "component_id", "root")
+    own = materialize(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "members")
+    least = own.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    return looked_up(own, least, "root").select("fp", "component_id", "root", F.col("copies").alias("n"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint, component_id for every row of docs."""
-    prints = materialize(with_fingerprints(docs.select("doc_id", "text")).select("doc_id", F.col("_fingerprint").alias("fp")), "fingerprints")
-    return prints.join(near_classes(prints), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    prints = materialize(with_fingerprints(docs.select("doc_id", "text"), "fp").select("doc_id", "fp"), "fingerprints")
+    found = materialize(near_classes(prints), "classes")
+    return looked_up(prints, found, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs, with their columns, but of each class of near-duplicates only the one with
     the smallest doc_id (of several such rows, one)."""
-    kept = with_fingerprints(docs, "_quillfp").withColumn("_quillrow", F.monotonically_increasing_id())
+    kept = with_fingerprints(carried(docs, "doc_id", "text"), "fp").select("row", "doc_id", "fp", F.monotonically_increasing_id().alias("at"))
     kept = materialize(kept, "rows")  # from here on a row's number is fixed
-    rows = kept.select("doc_id", F.col("_quillfp").alias("fp"), F.col("_quillrow").alias("row"))
-    found = near_classes(rows)
-    rows = rows.join(found.select("fp", "root"), "fp")
-    order = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row")
-    chosen = rows.groupBy("root").agg(F.min(order).alias("least")).select(F.col("least.row").alias("_quillrow"))
-    return kept.join(chosen, "_quillrow", "left_semi").drop("_quillfp", "_quillrow")
+    rows = kept.select("doc_id", "fp", "at")
+    found = materialize(near_classes(rows), "classes")
+    order = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "at")
+    chosen = looked_up(rows, found.select("fp", "root", "n"), "fp").groupBy("root").agg(F.min(order).alias("least")).select("least.at")
+    return kept.join(chosen, "at", "left_semi").select("row.*")
