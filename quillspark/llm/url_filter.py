@@ -3,12 +3,14 @@
 Every url is expanded into the expressions that a rule could be written as (a suffix of its host,
 whole labels, followed by a prefix of its path); expressions meet rules on the first 32 bits of
 their SHA-256, the full digest confirms, and the longest rule wins (block before allow on a tie).
-Only host depths and path lengths that some rule has are expanded.
+Only host depths and path lengths that some rule has are expanded; that table has a row per depth,
+with the distinct lengths, so rules may have any number of shapes.
 
 Defined cases: a null url, or one without "://", has an empty host and path, meets no rule and gets
-the default verdict; an empty rule table gives every url the default; repeated rows and repeated
-page_ids stay, each judged by its own url; an empty table gives an empty result; columns other
-than page_id and url are neither needed nor read. A rule with a null or empty host fits nothing.
+the default verdict; very long urls are expanded like others; an empty rule table gives every url the default;
+of rules that tie in length a block wins, then the last in order of text; repeated rules count once;
+repeated rows and repeated page_ids stay, each judged by its own url; an empty table gives an empty result;
+columns other than page_id and url are neither needed nor read. A rule with a null or empty host fits nothing.
 """
 
 from __future__ import annotations
@@ -16,11 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import ascii_lower
-
-#: Distinct (labels of the host, characters of the path) of a rule table; more are refused.
-MAX_SHAPES = 4096
-
+from quillspark.llm.common import ascii_lower, looked_up
 
 def with_host_path(df: DataFrame) -> DataFrame:
     """Add host and path of the column url."""
@@ -44,20 +42,17 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
         .withColumn("short", F.substring("rule_digest", 1, 8))
         .withColumn("precedence", F.struct(F.length("rule"), (F.col("verdict") == "block").alias("blocks"), "rule", "verdict"))
     )
-    shapes = rules.select(F.size(F.split("rule_host", r"\.")).alias("labels"), F.length("rule_path").alias("chars")).distinct().limit(MAX_SHAPES + 1).collect()
-    if len(shapes) > MAX_SHAPES:
-        raise ValueError(f"rules have over {MAX_SHAPES} shapes")
+    # A row per host depth: as many lengths at most as the longest rule has characters, so it can be broadcast.
+    shapes = rules.select(F.size(F.split("rule_host", r"\.")).alias("depth"), F.length("rule_path").alias("n")).groupBy("depth").agg(F.sort_array(F.collect_set("n")).alias("lengths"))
     rows = pages.select("page_id", "url")
-    urls = with_host_path(rows.select("url").distinct()).withColumn("labels", F.split("host", r"\."))
-    forms = [
-        F.when(
-            (F.size("labels") >= k) & (F.length("path") >= n),
-            F.concat(F.array_join(F.slice("labels", F.size("labels") - k + 1, F.lit(k)), "."), F.substring("path", 1, n)),
-        )
-        for k, n in sorted((s.labels, s.chars) for s in shapes)
-    ]
+    urls = with_host_path(rows.where("url IS NOT NULL").groupBy("url").agg(F.count(F.lit(1)).alias("copies"))).withColumn("labels", F.split("host", r"\."))
+    depths = urls.select("url", "copies", "path", "labels", F.explode(F.sequence(F.lit(1), F.size("labels"))).alias("depth")).join(F.broadcast(shapes), "depth")
+    suffix = F.array_join(F.slice("labels", F.size("labels") - F.col("depth") + 1, F.col("depth")), ".")
+    fitting = F.filter("lengths", lambda n: n <= F.length("path"))
+    forms = F.transform(fitting, lambda n: F.concat("suffix", F.expr("path").substr(F.lit(1), n)))
     expressions = (
-        urls.select("url", F.explode(F.array_compact(F.array(*forms)) if forms else F.expr("array_remove(array(''), '')")).alias("expression"))
+        depths.withColumn("suffix", suffix)
+        .select("url", "copies", F.explode(forms).alias("expression"))
         .withColumn("digest", F.sha2("expression", 256))
         .withColumn("short", F.substring("digest", 1, 8))
     )
@@ -65,8 +60,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
         expressions.join(rules.select("short", "rule_digest", "precedence"), "short")
         .where(F.col("digest") == F.col("rule_digest"))
         .groupBy("url")
-        .agg(F.max("precedence").alias("best"))
-    )
-    return with_host_path(rows).join(found, "url", "left").select(
-        "page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce(F.col("best.verdict"), F.lit(default)).alias("verdict")
+        .agg(F.max("precedence").alias("best"), F.max("copies").alias("n"))
     )
+    judged = looked_up(rows, found, "url", "left")
+    return with_host_path(judged).select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce(F.col("best.verdict"), F.lit(default)).alias("verdict"))
