@@ -94,8 +94,8 @@ crc AS MATERIALIZED (SELECT list(v ORDER BY n) AS t FROM bits WHERE k = 8),
 b AS (SELECT doc_id, source, hex(encode(coalesce(text, ''))) AS h FROM documents),
 x AS (SELECT doc_id, source, t, length(h) // 2 + 16 AS size,
         list_prepend(4294967295, list_transform(range(0, length(h) // 2), lambda i: CAST(instr('0123456789ABCDEF', h[2*i+1]) * 16 + instr('0123456789ABCDEF', h[2*i+2]) - 17 AS BIGINT))) AS bytes FROM b, crc),
-r AS (SELECT doc_id, source, coalesce('=' || source, '') AS stratum, size, md5('7:' || doc_id) AS mix,
-        CAST(xor(list_reduce(bytes, lambda a, y: xor(a >> 8, t[CAST(xor(a, y) & 255 AS BIGINT) + 1])), 4294967295) AS BIGINT) AS text_crc32 FROM x),
+c AS (SELECT doc_id, source, coalesce('=' || source, '') AS stratum, size, CAST(xor(list_reduce(bytes, lambda a, y: xor(a >> 8, t[CAST(xor(a, y) & 255 AS BIGINT) + 1])), 4294967295) AS BIGINT) AS text_crc32 FROM x),
+r AS (SELECT *, md5('7:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || text_crc32 || ':' || size) AS mix FROM c),
 w AS (SELECT *, CAST(2 * row_number() OVER (PARTITION BY stratum ORDER BY mix, doc_id, text_crc32, size) - 1 AS DOUBLE) / CAST(2 * count(*) OVER (PARTITION BY stratum) AS DOUBLE) AS fraction, count(*) OVER () AS total FROM r),
 p AS (SELECT *, row_number() OVER (ORDER BY fraction, md5('7:' || stratum), stratum, mix, doc_id, text_crc32, size) - 1 AS position FROM w)
 SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(position * 40 // total AS INT) AS shard, CAST(position - (position * 40 // total * total + 39) // 40 AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard, position, source FROM p

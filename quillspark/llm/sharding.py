@@ -4,9 +4,11 @@ Rows are shuffled by a seeded hash within their source and ranked; the fractiona
 (rank - 1/2) / size of the source interleaves the sources in proportion, and cutting that order into
 runs whose lengths differ by one at most makes every shard match the mixture (law: rows).
 
-Defined cases: a null text has no bytes (size 16, checksum 0); a null source is a source of its own;
-repeated rows and repeated doc_ids are separate rows, ordered among themselves by their text's
-checksum and size (rows equal in all three are interchangeable); fewer rows than shards leave shards
+The hash is over doc_id, checksum and size, so that rows without a doc_id, or with one in common, are shuffled too.
+
+Defined cases: a null text has no bytes (size 16, checksum 0); a very long text is only measured where it is read; a null
+source is a source of its own; repeated rows and repeated doc_ids are separate rows, ordered among themselves by their text's
+checksum and size (rows that tie in all three are interchangeable); fewer rows than shards leave shards
 empty; an empty table gives an empty result; other columns are not read.
 """
 
@@ -34,8 +36,8 @@ def interleave_shards(docs: DataFrame, shards: int = 40, seed: int = 7) -> DataF
         F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("stratum"),
         (F.octet_length(text) + OVERHEAD_BYTES).cast("long").alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
-        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).alias("mix"),
     )
+    rows = rows.withColumn("mix", F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text_crc32", "size")))
     # A bucket is a range of the hash, so that buckets in order are rows in order of the hash.
     bucket = F.floor(F.conv(F.substring("mix", 1, 8), 16, 10).cast("long") * buckets / float(1 << 32)).cast("long")
     tie = [F.col("mix"), F.col("doc_id"), F.col("text_crc32"), F.col("size")]
