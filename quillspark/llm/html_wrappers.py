@@ -3,17 +3,21 @@
 A page becomes a stream of block tags and text slots; a group of tokens that follows itself becomes
 a repeated group. Streams of one host are aligned one after the other with the wrapper so far:
 tokens that only one of them has become optional, slots whose texts differ become variable. Slots
-are then judged once, in the wrapper: by the elements around them, by links, by length, and by
-being the same on all pages. A page's text is what its slots aligned with the kept slots hold.
-
-Equal streams of a host are combined where they are read; the rest are aligned in groups of at most
+are then judged once, in the wrapper. Menus, forms, adverts, comments and the like go by their elements and by
+what their classes, ids and roles say (NAMED). Where those only hint at it (HINTED), and on hosts without an article element, the
+wrapper decides: blocks of links and blocks that say the same on all pages are the host's, and the
+article is the innermost block that holds most of what varies. A page's text is what its slots aligned with the
+kept slots hold. Nothing depends on how many pages a host has, but for one: a host's only page shows no differences,
+so all of it counts as varying.
+
+Equal streams of a host are combined where they are read; the rest are aligned in groups of about
 FAN wrappers, level by level, so no host is in one task. Wrappers are broadcast if they take
 BROADCAST_BYTES at most; else pages are joined with them by host.
 
 Defined cases: a null or empty page, or one without text, has the empty text; a null url has the
-empty host; broken markup (unclosed tags, quotes or comments) is read to the end; repeated rows are
-extracted alike; an empty table gives an empty result; columns other than page_id, url and html
-are not read.
+empty host; broken markup (unclosed tags, quotes or comments) is read to the end; a very long page is read whole; of blocks
+that tie for the article the first is taken; repeated rows are extracted alike; an empty table gives an empty result;
+columns other than page_id, url and html are not read.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import materialize
 from quillspark.llm.url_filter import with_host_path
 
-FAN, BROADCAST_BYTES = 64, 32 << 20
+FAN, BROADCAST_BYTES = 16, 32 << 20
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -52,13 +56,15 @@ LOOSE = frozenset("p li dt dd tr td th thead tbody tfoot option colgroup h1 h2 h
 #: Elements that may hold the whole article, whatever their class says.
 WHOLE = frozenset("html body main article".split())
 ASIDE = frozenset("head title nav footer aside form button dialog menu fieldset".split())
-#: Words of classes, ids and roles that mark what isn't the article.
-MARKED = re.compile(
-    r"(?:^|[^a-z])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav|navigation|navbar|menu|sidebar|side|rail|footer|foot|masthead|breadcrumbs?|cookies?|consent|gdpr|notices?|alert|"
-    r"popup|modal|overlay|newsletter|subscribe|subscription|social|share|sharing|related|recommend\w*|comments?|commentlist|disqus|repl(?:y|ies)|respond|widget|login|signin|signup|search|"
-    r"pagination|pager|toolbar|contentinfo|complementary|dialog)(?:[^a-z]|$)",
+#: Words of classes, ids and roles of the kinds of blocks that are never the article's.
+NAMED = re.compile(
+    r"(?:^|[^a-z])(?:ads?|advert\w*|sponsor\w*|promo\w*|nav|navigation|navbar|menu|sidebar|footer|masthead|breadcrumbs?|cookies?|consent|gdpr|notices?|popup|modal|newsletter|subscribe|subscription|"
+    r"comments?|commentlist|disqus|repl(?:y|ies)|login|signin|signup|pagination|pager|toolbar|contentinfo|complementary|dialog)(?:[^a-z]|$)",
     re.I,
 )
+#: Words that an article's own blocks may have as well; the wrapper decides.
+HINTED = re.compile(r"(?:^|[^a-z])(banner|side|rail|foot|alert|overlay|social|share|sharing|related|recommend\w*|respond|widget|search)(?:[^a-z]|$)", re.I)
+HEADINGS = frozenset(f"<h{k}" for k in range(1, 7))
 
 
 class Page:
@@ -70,7 +76,7 @@ class Page:
         self.links: list[int] = []
         buffer: list[str] = []
         linked = in_link = 0
-        opened: dict[str, list[bool]] = {}  # inline elements by name: whether their tags are symbols
+        opened: dict[str, list[bool]] = {}  # inline elements by name: whether they are hidden and so symbols
 
         def flush() -> None:
             nonlocal linked
@@ -97,8 +103,8 @@ class Page:
                 continue
             end = bool(m[2] if m[3] else m[5])
             attributes = (m[4] if m[3] else m[7]) or ""
-            marks = "" if end or not attributes else marked(attributes)
-            if name in WHOLE and marks == "!":
+            marks = "" if end or not attributes else marked(attributes, name in INLINE)
+            if name in WHOLE and marks != "*":
                 marks = ""
             if name in INLINE:
                 if name == "a":
@@ -116,43 +122,82 @@ class Page:
         flush()
 
 
-def marked(attributes: str) -> str:
-    """!: hidden or marked as something else than the article. role=main counts as such."""
+def marked(attributes: str, inline: bool = False) -> str:
+    """!: hidden, or a block named as something else than the article; ? and a word: perhaps; *: role=main.
+    Inline elements are part of a block, whatever they are called."""
+    found = ""
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
+        if name == "hidden":
+            return "!"
+        if inline:
+            continue
+        if name == "aria-hidden" and value.lower() == "true":
             return "!"
         if name == "role" and value.lower() == "main":
             return "*"
-        if name in ("class", "id", "role") and MARKED.search(value):
-            return "!"
-    return ""
+        if name in ("class", "id", "role"):
+            if NAMED.search(value):
+                return "!"
+            if HINTED.search(value):
+                found = "?" + HINTED.search(value)[1].lower()
+    return found
+
+
+def parts(symbol: str) -> tuple[str, str]:
+    """The name of a start tag's symbol, and its mark."""
+    name = re.split("[!?*]", symbol[1:])[0]
+    return name, symbol[len(name) + 1 : len(name) + 2]
+
+
+def step(symbol: str) -> int:
+    """How many elements a symbol opens, as far as they must be closed."""
+    if symbol[0] != "<":
+        return 0
+    if symbol[1] == "/":
+        return 0 if symbol[2:] in LOOSE else -1
+    name, mark = parts(symbol)
+    return 0 if name in LOOSE and not mark else 1
 
 
-LONGEST_GROUP = 8
+def whole(group: list[str]) -> bool:
+    """The group closes what it opens, and nothing else."""
+    depth = 0
+    for s in group:
+        depth += step(s)
+        if depth < 0:
+            return False
+    return depth == 0
 
 
 def folded(symbols: list[str]) -> tuple[list[str], list[bool], list[list[int]]]:
-    """The stream with repeated groups once: symbols, whether repeated, and the slots of each symbol."""
+    """The stream with repeated groups, of any length, once: symbols, whether repeated, and the slots of each symbol."""
     out: list[str] = []
     again: list[bool] = []
     slots: list[list[int]] = []
+    places: dict[str, list[int]] = {}  # of every symbol in out
     n = 0
     for s in symbols:
         out.append(s)
         again.append(False)
         slots.append([n] if s == "#" else [])
         n += s == "#"
-        size = 1
-        while size <= LONGEST_GROUP and 2 * size <= len(out):
-            if out[-1] == out[-1 - size] and out[-size:] == out[-2 * size : -size]:
-                for k in range(1, size + 1):
-                    slots[-k - size] += slots[-k]
-                    again[-k - size] = True
+        own = places.setdefault(s, [])
+        own.append(len(out) - 1)
+        k = len(own) - 2
+        while k >= 0:
+            size = len(out) - 1 - own[k]
+            if 2 * size > len(out):
+                break
+            if out[-size] == out[-2 * size] and out[-1 - size // 2] == out[-1 - size - size // 2] and out[-size:] == out[-2 * size : -size] and whole(out[-size:]):
+                for j in range(1, size + 1):
+                    slots[-j - size] += slots[-j]
+                    again[-j - size] = True
+                    places[out[-j]].pop()
                 del out[-size:], again[-size:], slots[-size:]
-                size = 1
+                k = len(own) - 2  # what is left may repeat what stands before it
             else:
-                size += 1
+                k -= 1
     return out, again, slots
 
 
@@ -189,69 +234,102 @@ def rendered(wrapper: list[list]) -> str:
     """The wrapper as an expression: ( )+ around repeated groups, ( )? around optional ones."""
     parts = []
     for (optional, again), run in groupby(wrapper, key=lambda x: (x[2], x[1])):
-        body = " ".join(x[0].rstrip("!*") + ("" if x[0] == "#" and not x[6] else "=" if x[0] == "#" else ">") for x in run)
+        body = " ".join(re.split("[!?*]", x[0])[0] + ("" if x[0] == "#" and not x[6] else "=" if x[0] == "#" else ">") for x in run)
         parts.append(f"( {body} )" + "+" * again + "?" * optional if again or optional else body)
     return " ".join(parts)
 
 
+class Blocks:
+    """The elements of a wrapper in order of their start, 0 being the page; a block's parts follow it."""
+
+    def __init__(self, wrapper: list[list]):
+        self.parent, self.aside, self.article, self.hinted = [0], [False], [False], [False]
+        self.owner: list[int] = []  # per symbol, the block that it stands in
+        self.heading: list[bool] = []
+        names, at, heading = [""], 0, False
+        for x in wrapper:
+            s = x[0]
+            self.owner.append(at)
+            self.heading.append(heading)
+            if s == "#":
+                continue
+            if s[1] == "/":
+                heading, up = False, at
+                while up and names[up] != s[2:]:
+                    up = self.parent[up]
+                at = self.parent[up] if up else at
+                continue
+            name, mark = parts(s)
+            heading = s[:3] in HEADINGS
+            if name not in LOOSE or mark:
+                names.append(name)
+                self.parent.append(at)
+                self.aside.append(self.aside[at] or mark == "!" or name in ASIDE or name == "header" and not self.article[at])
+                self.article.append(self.article[at] or name in ("article", "main") or mark == "*")
+                self.hinted.append(mark == "?")
+                at = len(names) - 1
+        last = list(range(len(names)))
+        for b in range(len(names) - 1, 0, -1):
+            last[self.parent[b]] = max(last[self.parent[b]], last[b])
+        self.end = [b + 1 for b in last]  # the first block that is no part of it
+
+    def sums(self, amounts: list[int]) -> list[int]:
+        """Per block, of the amounts of the symbols in it and its parts."""
+        out = [0] * len(self.parent)
+        for b, n in zip(self.owner, amounts):
+            out[b] += n
+        for b in range(len(out) - 1, 0, -1):
+            out[self.parent[b]] += out[b]
+        return out
+
+
 def kept(wrapper: list[list]) -> list[bool]:
     """Per symbol: a slot that belongs to the article."""
-    stack: list[tuple[str, bool, bool]] = []  # name, aside, within the article
-    aside, inside = [], []
-    for x in wrapper:
-        s = x[0]
-        within, out = (stack[-1][2], stack[-1][1]) if stack else (False, False)
-        if s[0] == "<" and s[1] != "/":
-            name = s[1:].rstrip("!*")
-            off = out or s.endswith("!") or name in ASIDE or name == "header" and not within
-            if name not in LOOSE or s.endswith("!"):
-                stack.append((name, off, within or name in ("article", "main") or s.endswith("*")))
-        elif s[0] == "<":
-            name = s[2:]
-            at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
-            if at is not None:
-                del stack[at:]
-        elif s == "#":
-            aside.append(out)
-            inside.append(within)
-            continue
-        aside.append(True)
-        inside.append(False)
-    article = [s and not a for s, a in zip(inside, aside)]
+    blocks = Blocks(wrapper)
+    slot = [x[0] == "#" for x in wrapper]
+    # The host's own words: the same on all pages, where something else differs.
+    differs = any(s and not x[6] for s, x in zip(slot, wrapper))
+    same = [bool(s and differs and x[6] and not x[2]) for s, x in zip(slot, wrapper)]
+    chars, links = blocks.sums([x[4] for x in wrapper]), blocks.sums([x[5] for x in wrapper])
+    varying = blocks.sums([0 if c else x[4] for c, x in zip(same, wrapper)])
+    aside = blocks.aside
+    for b in range(1, len(aside)):
+        off = blocks.hinted[b] and (not blocks.article[b] or 2 * links[b] >= chars[b] or not varying[b])
+        aside[b] = aside[b] or aside[blocks.parent[b]] or off
+    plain = [s and not aside[b] for s, b in zip(slot, blocks.owner)]
+    article = [p and blocks.article[b] for p, b in zip(plain, blocks.owner)]
     if any(article):
-        # What all pages say while the rest of the article varies is the host's, not the page's.
-        varies = any(a and not x[6] for a, x in zip(article, wrapper))
-        return [a and not (varies and x[6] and x[3] >= 20 and x[4] < 60 * x[3] and not x[1]) for a, x in zip(article, wrapper)]
-    plain = [not a for a in aside]
-    long = [p and x[4] >= 40 * x[3] and 2 * x[5] < x[4] and not (x[6] and x[3] >= 5) for p, x in zip(plain, wrapper)]
-    if not any(long):
+        return article
+    # No article element: the innermost block that holds over three quarters of what varies and isn't links.
+    linked = [2 * x[5] > x[4] for x in wrapper]
+    mine = blocks.sums([x[4] if p and not c and not f else 0 for x, p, c, f in zip(wrapper, plain, same, linked)])
+    if not mine[0]:
         return plain
-    first, last = long.index(True), len(long) - 1 - long[::-1].index(True)
-    return [p and (first <= k <= last and 2 * x[5] <= x[4] or k == first - 1) for k, (p, x) in enumerate(zip(plain, wrapper))] if len(long) else long
+    at = max(b for b in range(len(mine)) if 4 * mine[b] > 3 * mine[0])  # such blocks are nested
+    own = [p and at <= b < blocks.end[at] and not f and (h or not c) for p, b, c, f, h in zip(plain, blocks.owner, same, linked, blocks.heading)]
+    first = own.index(True)
+    # A title may stand above that block.
+    return [o or k < first and p and h and not c and not f for k, (o, p, c, f, h) in enumerate(zip(own, plain, same, linked, blocks.heading))]
 
 
-def extracted(page: Page, wrapper: list[list] | None) -> str:
+def extracted(page: Page, known: tuple[list[str], list[bool]] | None) -> str:
+    """The page's text; known: the symbols of its host's wrapper, and which of them are kept."""
     symbols, _, slots = folded(page.symbols)
 
     def text(flags: list[bool]) -> str:
         chosen = sorted(i for own, f in zip(slots, flags) if f for i in own)
         return " ".join(page.texts[i] for i in chosen)
 
-    own = None
-    if wrapper:
-        names = [x[0] for x in wrapper]
-        keep = kept(wrapper)
-        if names == symbols:
-            found = text(keep)
-        else:
-            own = kept(wrapper_of(page))
-            flags = list(own)
-            for i, j, n in SequenceMatcher(None, names, symbols, autojunk=False).get_matching_blocks():
-                flags[j : j + n] = keep[i : i + n]
-            found = text(flags)
+    if known and known[0] == symbols:
+        found = text(known[1])
         if found:
             return found
-    return text(own or kept(wrapper_of(page)))
+    flags = own = kept(wrapper_of(page))
+    if known and known[0] != symbols:
+        flags = list(own)
+        for i, j, n in SequenceMatcher(None, known[0], symbols, autojunk=False).get_matching_blocks():
+            flags[j : j + n] = known[1][i : i + n]
+    return text(flags) or text(own)
 
 
 WRAPPERS = "host string, wrapper string"
@@ -305,7 +383,7 @@ def extract(pages: DataFrame) -> DataFrame:
     schema = rows.select("page_id", "url").schema.add("text", "string").add("n_chars", "long")
 
     def run(batches):
-        read: dict[str, list[list]] = {}
+        read: dict[str, tuple[list[str], list[bool]]] = {}
         for b in batches:
             texts = []
             for k, (source, host) in enumerate(zip(b.column(2), b.column(3).to_pylist())):
@@ -313,7 +391,8 @@ def extract(pages: DataFrame) -> DataFrame:
                 if known is not None and known not in read:
                     if len(read) > 1000:
                         read.clear()
-                    read[known] = json.loads(known)
+                    wrapper = json.loads(known)
+                    read[known] = [x[0] for x in wrapper], kept(wrapper)
                 texts.append(extracted(Page(source.as_py() or ""), read.get(known)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=schema.names)
 
