@@ -12,12 +12,12 @@ equal triggers at equal offsets, so a repeated string is found among the phrases
 Suffix order beyond 100 bytes can't change what repeats, and suffixes with different triggers can't
 be equal so far; so the suffix array is made per trigger, and no task needs the whole order.
 
-Equal phrases of one slice of text are collapsed where they are read. A trigger with over HOT
-distinct phrases in a slice, such as the edge of a passage that a third of the documents share, is
-not grouped: the strings of its phrases are dealt out by their own digests.
+Equal phrases of one slice of text are collapsed where they are read (by 128 bits: trigger and phrase hashes). A trigger
+with over HOT distinct phrases in a slice, or over HOT_ROWS rows from all slices, such as the edge of a passage
+that a third of the documents share, is not grouped: the strings of its phrases are dealt out by their own digests.
 
 Strings are judged on the input; matches never cross documents. Defined cases: a null or empty
-text has no bytes (the digest of the empty string); texts under 100 bytes are kept whole; rows with
+text has no bytes (the digest of the empty string); texts under 100 bytes are kept whole; very long texts are hashed in overlapping chunks; rows with
 the same doc_id, or none, are documents of their own, in an order fixed by their text's digest (equal rows are
 interchangeable); an empty table gives an empty result; other columns are not read.
 """
@@ -35,7 +35,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from quillspark.llm.batches import slices
 from quillspark.llm.common import materialize
 
-LENGTH, GRAM, HOT = 100, 32, 4
+LENGTH, GRAM, HOT, HOT_ROWS = 100, 32, 4, 64
 SPAN = LENGTH - GRAM + 1  # grams of a string
 CHUNK = 1 << 17  # bytes hashed at a time, so that all arrays stay in the cache
 U = np.uint64
@@ -132,10 +132,9 @@ def parsed(orders: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, ...]:
     if not out:
         return (np.empty(0, np.int64),) * 4
     t, g, order, x = (np.concatenate(c) for c in zip(*out))
-    same = t ^ (g * BASE)
-    sort = np.argsort(same, kind="stable")  # rows are in corpus order: the first of equal phrases is the first there
+    sort = np.argsort(t ^ (g * BASE), kind="stable")  # rows are in corpus order: the first of equal phrases is the first there
     again = np.zeros(len(t), bool)
-    again[sort[1:]] = same[sort[1:]] == same[sort[:-1]]
+    again[sort[1:]] = (t[sort[1:]] == t[sort[:-1]]) & (g[sort[1:]] == g[sort[:-1]])
     once = np.flatnonzero(~again)
     names, which, n = np.unique(t[once], return_inverse=True, return_counts=True)
     hot = once[n[which] > HOT]
@@ -180,7 +179,7 @@ def judged(rows: DataFrame) -> DataFrame:
         (F.lag("g").over(by.orderBy("g", "ord", "x")) == F.col("g")).alias("same"),
         F.lag(kind).over(by.orderBy("g", "ord", "x")).alias("before"),
         (F.min(normal).over(by) < F.max(normal).over(by)).alias("several"),
-        (F.max(kind).over(by) == SIGN).alias("sign"),
+        ((F.max(kind).over(by) == SIGN) | (F.count(normal).over(by) > HOT_ROWS) & (F.min(normal).over(by) < F.max(normal).over(by))).alias("sign"),
     )
     known = (kind == KNOWN) | (F.col("same") & (F.col("before") == kind))
     status = F.when(kind == SIGN, None).when(F.coalesce(known, F.lit(False)), "known").when((kind == SPREAD) | F.col("sign"), "spread").when(F.col("several"), "edge")
