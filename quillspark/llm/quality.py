@@ -1,17 +1,19 @@
 """Quality rules: a decision list learned by sequential covering, applied as one conditional expression.
 
 Every text gets a few counts (array functions, no Python). Over labelled texts the counts become
-shares, cut at quantiles; rules, conjunctions of at most three thresholds, are grown by information
+shares, cut at quantiles; rules, conjunctions of at most MAX_TERMS thresholds, are grown by information
 gain on two thirds of the labelled rows and pruned on the other third, one after the other, each
-from what the ones before it leave. The list becomes an ordered CASE WHEN.
+from what the ones before it leave, until no rule is precise enough. The list becomes an ordered CASE WHEN.
 
 All learning steps are aggregates over a table of (bins, counts); the driver sees a row per
-feature and bin. Labelled rows are not sampled.
+feature and bin. Labelled rows are not sampled. Quantiles are read from counts of the shares in steps of 1 / GRAIN,
+so they don't depend on how rows are laid out.
 
-Defined cases: a null or empty text has no words and fails the base rule; labels with a null
+Defined cases: a null or empty text has no words and fails the base rule; a very long text is counted whole; labels with a null
 quality, or of documents that aren't there, are ignored; several labels of one document all count;
-no labels, or labels of one kind, give an empty list (then only the base rule rejects); repeated
-rows are judged alike; an empty table gives an empty result; extra columns are left alone.
+no labels, or labels of one kind, give an empty list (then only the base rule rejects); of thresholds that tie in gain the first
+by feature, value and direction is taken; repeated rows are judged alike; an empty table gives an empty result;
+extra columns, whatever their names, are carried in a struct and left alone.
 """
 
 from __future__ import annotations
@@ -22,10 +24,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import UPPER, materialize
+from quillspark.llm.common import LOWER, UPPER, carried, materialize
 
 SPACE = r"[\x20\x09-\x0D]+"
-SPACE_CHARS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -41,7 +42,9 @@ FEATURES = {
     "echo_share": "n_echoes / greatest(n_words, 1)",
     "distinct_share": "n_distinct / greatest(n_words, 1)",
 }
-BINS, MAX_RULES, MAX_TERMS, MIN_PRECISION, MIN_COVER = 24, 10, 3, 0.97, 4
+#: Quantiles; terms of a rule; a rule's least precision, and least number of bad texts, on what is left of the labelled rows.
+BINS, MAX_TERMS, MIN_PRECISION, MIN_COVER = 24, 3, 0.97, 4
+GRAIN, LARGEST = 10_000, 1_000  # steps of a share; quantiles above LARGEST (of a mean word's length) are told apart no more
 
 
 @dataclass(frozen=True)
@@ -64,45 +67,44 @@ class Term:
         return f"{self.feature} {'>' if self.above else '<='} {self.value:.6g}"
 
 
-def without(text: Column, chars: str) -> Column:
-    return F.translate(text, chars, "")
-
-
-def text_counts(df: DataFrame, text: str = "text", out: str = "_counts") -> DataFrame:
-    """Add a struct of the counts of each text, words being runs of anything but ASCII white space."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    keep = [F.col(f"`{c}`") for c in df.columns]
-    df = df.select(*keep, F.array_remove(F.split(body, SPACE), "").alias("_words"), body.alias("_body"))
-    lines = F.filter(F.split("_body", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    df = df.select(*keep, "_words", "_body", lines.alias("_lines"), F.transform("_words", lambda w: F.xxhash64(w)).alias("_ids"))
-    windows = F.expr(f"CASE WHEN size(_ids) >= {WINDOW} THEN transform(sequence(0, size(_ids) - {WINDOW}), i -> xxhash64({', '.join(f'get(_ids, i + {k})' for k in range(WINDOW))})) ELSE cast(array() AS array<bigint>) END")
-    df = df.select(*keep, "_words", "_body", "_lines", "_ids", windows.alias("_windows"))
+def less(text: str, chars: str) -> Column:
+    """How many characters of a text are among chars."""
+    return F.length(text) - F.length(F.translate(text, chars, ""))
+
+
+def text_counts(df: DataFrame, *keep: str) -> DataFrame:
+    """The columns keep of df(text, ...) and the counts of each text, words being runs of anything but ASCII white space.
+
+    No column to keep may be named as one made here."""
+    body = F.coalesce(F.col("text"), F.lit(""))
+    df = df.select(*keep, body.alias("body"), F.array_remove(F.split(body, SPACE), "").alias("words"))
+    # What is counted by character is rare, so most of the rest is taken out of the text first.
+    some = F.translate("body", LOWER + " .,;:'-\n", "")
+    lines = F.filter(F.split("body", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    df = df.select(*keep, some.alias("some"), lines.alias("lines"), F.length(F.array_join("words", "")).alias("solid"), F.transform("words", lambda w: F.xxhash64(w)).alias("ids"))
+    numbers = [
+        F.size("ids").cast("long").alias("n_words"),
+        F.col("solid").cast("long").alias("word_chars"),
+        less("some", SYMBOLS).cast("long").alias("n_symbols"),
+        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+        less("some", UPPER).cast("long").alias("n_upper"),
+        less("some", "!?").cast("long").alias("n_marks"),
+        less("some", "0123456789").cast("long").alias("n_digits"),
+        F.size("lines").cast("long").alias("n_lines"),
+        F.expr("cast(size(array_remove(zip_with(ids, slice(ids, 2, size(ids)), (a, b) -> coalesce(a = b, false)), false)) AS bigint)").alias("n_echoes"),
+        F.size(F.array_distinct("ids")).cast("long").alias("n_distinct"),
+    ]
+    shifted = ", ".join(f"slice(ids, {k + 1}, size(ids) - {WINDOW - 1})" for k in range(WINDOW))
+    windows = F.expr(f"CASE WHEN size(ids) >= {WINDOW} THEN transform(arrays_zip({shifted}), x -> xxhash64(x)) ELSE cast(array() AS array<bigint>) END")
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_upper", "n_marks", "n_digits", "n_lines", "n_echoes", "n_distinct"]
+    df = df.select(*keep, *numbers, windows.alias("windows"))
     # Only a text with a repeated window has its windows sorted, with their places.
-    placed = F.expr(
-        "CASE WHEN size(array_distinct(_windows)) < size(_windows) THEN array_sort(transform(_windows, (w, i) -> struct(w, i))) ELSE cast(array() AS array<struct<w:bigint,i:int>>) END"
-    )
-    n_distinct = F.size(F.array_distinct("_ids"))
-    echoes = F.expr("CASE WHEN size(_ids) > 1 THEN size(filter(sequence(1, size(_ids) - 1), i -> get(_ids, i) = get(_ids, i - 1))) ELSE 0 END")
-    df = df.select(*keep, "_words", "_body", "_lines", n_distinct.alias("_n_distinct"), echoes.alias("_n_echoes"), placed.alias("_placed"))
-    again = F.expr("sort_array(transform(filter(_placed, (x, k) -> get(_placed, k - 1).w = x.w OR get(_placed, k + 1).w = x.w), x -> x.i))")
-    df = df.select(*keep, "_words", "_body", "_lines", "_n_distinct", "_n_echoes", again.alias("_again"))
-    covered = F.expr(f"aggregate(_again, struct(0L AS n, 0 AS until), (a, i) -> struct(a.n + {WINDOW} - greatest(a.until - i, 0) AS n, i + {WINDOW} AS until)).n")
-    length = F.length("_body")
-    solid = F.length(without(F.col("_body"), SPACE_CHARS))
-    counts = F.struct(
-        F.size("_words").cast("long").alias("n_words"),
-        solid.cast("long").alias("word_chars"),
-        (length - F.length(without(F.col("_body"), SYMBOLS))).cast("long").alias("n_symbols"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        covered.alias("n_repeat_words"),
-        (length - F.length(without(F.col("_body"), UPPER))).cast("long").alias("n_upper"),
-        (length - F.length(without(F.col("_body"), "!?"))).cast("long").alias("n_marks"),
-        (length - F.length(without(F.col("_body"), "0123456789"))).cast("long").alias("n_digits"),
-        F.size("_lines").cast("long").alias("n_lines"),
-        F.col("_n_echoes").cast("long").alias("n_echoes"),
-        F.col("_n_distinct").cast("long").alias("n_distinct"),
-    )
-    return df.select(*keep, counts.alias(out))
+    placed = F.expr("CASE WHEN size(array_distinct(windows)) < size(windows) THEN array_sort(transform(windows, (w, i) -> struct(w, i))) ELSE cast(array() AS array<struct<w:bigint,i:int>>) END")
+    df = df.select(*keep, *names, placed.alias("placed"))
+    again = F.expr("sort_array(transform(filter(placed, (x, k) -> get(placed, k - 1).w = x.w OR get(placed, k + 1).w = x.w), x -> x.i))")
+    df = df.select(*keep, *names, again.alias("again"))
+    covered = F.expr(f"aggregate(again, struct(0L AS n, 0 AS until), (a, i) -> struct(a.n + {WINDOW} - greatest(a.until - i, 0) AS n, i + {WINDOW} AS until)).n")
+    return df.select(*keep, *names, covered.alias("n_repeat_words"))
 
 
 def base_failed() -> Column:
@@ -117,13 +119,14 @@ def learn_rules(counts: DataFrame, labels: DataFrame) -> list[list[Term]]:
     rows = counts.where(~base_failed()).join(labelled, "doc_id").select(
         "bad", (F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0).alias("held"), *[F.expr(e).alias(f) for f, e in FEATURES.items()]
     )
-    steps = [k / BINS for k in range(BINS + 1)]
-    found = rows.agg(*[F.percentile_approx(f, steps, 2000).alias(f) for f in FEATURES], F.count_if("bad").alias("_bad"), F.count_if(~F.col("bad")).alias("_good")).first()
-    if not found["_bad"] or not found["_good"]:
+    # Counts by feature and step: a table of at most GRAIN rows a share, so the driver sees a bounded one.
+    grain = {f: F.floor(F.least(F.col(f), F.lit(float(LARGEST))) * (GRAIN if f != "mean_word" else GRAIN // LARGEST)).cast("long") for f in FEATURES}
+    steps = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), g.alias("step")) for f, g in grain.items()])).alias("at")
+    found = rows.select("bad", steps).groupBy("at.feature", "at.step").agg(F.count_if("bad").alias("bad"), F.count_if(~F.col("bad")).alias("good")).collect()
+    n_bad, n_good = (sum(r[k] for r in found if r.feature == "mean_word") for k in ("bad", "good"))
+    if not n_bad or not n_good:
         return []
-    # Cuts lie halfway between neighbouring quantiles: a margin on both sides.
-    points = {f: sorted(set(found[f])) for f in FEATURES}
-    cuts = {f: [(a + b) / 2 for a, b in zip(p, p[1:])] for f, p in points.items()}
+    cuts = {f: halfway([(r.step, r.bad + r.good) for r in found if r.feature == f], GRAIN if f != "mean_word" else GRAIN // LARGEST) for f in FEATURES}
     bins = [sum((F.when(F.col(f) > v, 1).otherwise(0) for v in c), F.lit(0)).alias(f) for f, c in cuts.items()]
     kinds = {"grow_bad": (False, True), "grow_good": (False, False), "held_bad": (True, True), "held_good": (True, False)}
     cells = (
@@ -135,7 +138,7 @@ def learn_rules(counts: DataFrame, labels: DataFrame) -> list[list[Term]]:
     long = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("bin")) for f in FEATURES])).alias("at")
     rules: list[list[Term]] = []
     left = cells
-    while len(rules) < MAX_RULES:
+    while True:  # every rule takes MIN_COVER bad texts at least
         rule = grow(left, cuts, long)
         rule = prune(left, rule) if rule else []
         if not rule:
@@ -145,6 +148,17 @@ def learn_rules(counts: DataFrame, labels: DataFrame) -> list[list[Term]]:
     return rules
 
 
+def halfway(counts: list[tuple[int, int]], grain: int) -> list[float]:
+    """Thresholds halfway between neighbouring quantiles: a margin on both sides."""
+    total, below, points = sum(n for _, n in counts), 0, []
+    for step, n in sorted(counts):
+        # The quantiles that fall on this step's rows.
+        if any(below <= k * (total - 1) / BINS < below + n for k in range(BINS + 1)):
+            points.append(step / grain)
+        below += n
+    return [(a + b) / 2 for a, b in zip(points, points[1:])]
+
+
 def conjunction(rule: list[Term]) -> Column:
     fits = F.lit(True)
     for term in rule:
@@ -208,20 +222,15 @@ def verdict(rules: list[list[Term]]) -> Column:
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, the counts, base_failed, rule and kept for every row of docs."""
-    counts = materialize(text_counts(docs.select("doc_id", "text")).select("doc_id", "_counts.*"), "quality")
+    counts = materialize(text_counts(docs.select("doc_id", "text"), "doc_id"), "quality")
     rules = learn_rules(counts, labels)
     return counts.select("*", base_failed().alias("base_failed"), verdict(rules).alias("rule")).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == "keep"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs, with their columns, that neither the base rule nor the list rejects."""
-    counts = materialize(text_counts(docs.select("doc_id", "text")).select("doc_id", "_counts.*"), "quality")
-    rules = learn_rules(counts, labels)
-    clash = "_quillcounts"
-    judged = text_counts(docs, out=clash)
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    flat = judged.select(F.struct(*columns).alias("_row"), f"{clash}.*")
-    # A filter on plain columns would be pushed below them, with every count written out as often as it
-    # is used; one that needs a row number stays above.
-    flat = flat.select("_row", (base_failed() | (verdict(rules) != "keep")).alias("_failed"), F.monotonically_increasing_id().alias("_at"))
-    return flat.where(~F.col("_failed") & (F.col("_at") >= 0)).select("_row.*")
+    """The rows of docs, with their columns, that neither the base rule nor the list rejects.
+
+    The counts are written beside the rows, so texts are counted once."""
+    rows = materialize(text_counts(carried(docs, "doc_id", "text"), "row", "doc_id"), "quality")
+    rules = learn_rules(rows.drop("row"), labels)
+    return rows.where(~base_failed() & (verdict(rules) == "keep")).select("row.*")
