@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 
-WIDTH, WINDOW, OVERLAP, EXPERTS = 16, 32, 6, 32
+WIDTH, WINDOW, OVERLAP, EXPERTS = 8, 32, 4, 24
 OWN_ROWS, SHARED_ROWS = 2048, 256
 BLOCK = 256  # windows at a time
 SUM = np.ones((WINDOW, 1), np.float32)  # by a product: faster than sums of short rows

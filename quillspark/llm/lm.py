@@ -11,9 +11,9 @@ count all training texts; its weights are trained on all windows of all training
 hash of the row, about PART_BYTES of text each) from one start, and averaged; the share maximises the likelihood of all
 training texts, each word's own occurrence left out of its count.
 
-Texts become ids once, in a table dealt out by part and sorted, so that neither the parts nor the order in them depend on
-how the input is laid out. All later steps read that table. Words are known by a 64-bit digest of their ids, which
-spell them. Those that aren't among the most frequent HEAD (broadcast, 16 bytes each) meet their counts
+Texts become ids once (as bytes, two an id), in a table dealt out by part and sorted, so that neither the parts nor the
+order in them depend on how the input is laid out. All later steps read that table. A word's first id, and no other, is of a
+token that starts with a space; words are known by a 64-bit digest of their ids, which spell them. Those that aren't among the most frequent HEAD (broadcast, 16 bytes each) meet their counts
 in a join, so no task needs the whole vocabulary. Training texts are those whose
 crc32(doc_id as text) mod 10 isn't 0; a null doc_id counts as the text "null".
 
@@ -31,7 +31,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,15 +46,18 @@ COLUMNS = 256  # most frequent next ids by which kinds of tokens are told apart
 SLICE = 4 << 20  # bytes of text
 STEP = 1 << 20  # ids at a time
 PSEUDO = 200.0
-SHARES = [round(0.1 * k, 1) for k in range(1, 10)]
-FIRST = 1 << 24  # added to a word's first id
+SHARES = [0.1, 0.25, 0.4, 0.5, 0.65, 0.8, 0.9]
 ODD, ODD2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
 def default_tokenizer() -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+def id_type(path: str) -> np.dtype:
+    return np.dtype(np.uint16 if encoder(path).end < 1 << 16 else np.uint32)
 
 
 def ids_of(texts: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
@@ -69,18 +71,15 @@ def ids_of(texts: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
     coded = pa.array(flat, pa.binary()).dictionary_encode()
     words = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) if flat else np.empty(0, np.int64)
     ids, lengths = encoder(path).spaced(coded.dictionary.cast(pa.string()))
-    ids = ids.astype(np.int32)
-    if len(ids):
-        ids[np.cumsum(lengths) - lengths] += FIRST
-    stream, ends = gathered(ids, lengths, words)
+    stream, ends = gathered(ids.astype(id_type(path)), lengths, words)
     bounds = np.concatenate(([0], np.cumsum(np.array(sizes, np.int64))))
     after = np.concatenate(([0], ends))[bounds]
     out_lengths = np.diff(after) + 1
     stops = np.cumsum(out_lengths) - 1
-    out = np.empty(len(stream) + len(texts), np.int32)
+    out = np.empty(len(stream) + len(texts), stream.dtype)
     here = np.ones(len(out), bool)
     here[stops] = False
-    out[here], out[stops] = stream, encoder(path).end + FIRST
+    out[here], out[stops] = stream, encoder(path).end
     return out, out_lengths
 
 
@@ -90,16 +89,16 @@ def scrambled(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_starts(ids: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(ids >= FIRST)
+def word_starts(ids: np.ndarray, path: str) -> np.ndarray:
+    return np.flatnonzero(encoder(path).opens[ids])
 
 
 def word_keys(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """A digest of each word, from its ids."""
     if not len(starts):
         return np.empty(0, np.int64)
-    place = np.arange(len(ids), dtype=np.uint64) - np.repeat(starts, np.diff(starts, append=len(ids))).astype(np.uint64)
-    each = scrambled((ids & (FIRST - 1)).astype(np.uint64) + (place << np.uint64(20)) + np.uint64(1))
+    place = (np.arange(len(ids), dtype=np.int32) - np.repeat(starts.astype(np.int32), np.diff(starts, append=len(ids)))).astype(np.uint64)
+    each = scrambled(ids + (place << np.uint64(20)) + np.uint64(1))
     return scrambled(np.add.reduceat(each, starts)).view(np.int64)
 
 
@@ -116,50 +115,69 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 
 def tokenized(docs: DataFrame, path: str) -> DataFrame:
-    """part, ord, doc_id, held_out, ids of every row; a part's rows lie side by side in one file, by ord."""
+    """part, ord, doc_id, held_out, ids (as bytes) of every row; a part's rows lie side by side in one file, by ord."""
 
     def run(batches):
         for batch in batches:
             for part, texts in slices(batch, "text", SLICE):
                 ids, lengths = ids_of(texts, path)
-                offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], names=["ord", "doc_id", "held_out", "ids"])
+                offsets = (np.concatenate(([0], np.cumsum(lengths))) * ids.itemsize).astype(np.int32)
+                column = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], column], names=["ord", "doc_id", "held_out", "ids"])
 
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // PART_BYTES))
-    schema = f"ord bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, ids array<int>"
+    schema = f"ord bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, ids binary"
     rows = docs.mapInArrow(run, schema).withColumn("part", F.pmod(F.xxhash64("ord"), F.lit(parts)))
     rows = rows.repartition(-(-parts // PARTS_A_TASK), "part").sortWithinPartitions("part", "ord")
     return materialize(rows.select("part", "ord", "doc_id", "held_out", "ids"), "ids", drop_shuffles=True)
 
 
-def flat_ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of a column of lists, and the lists' lengths."""
-    return column.flatten().to_numpy(zero_copy_only=False), pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+def flat_ids(column: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of a column of bytes, and how many each row has."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], kind, (ends[-1] - ends[0]) // kind.itemsize, int(ends[0])), np.diff(ends).astype(np.int64) // kind.itemsize
 
 
-def cut_batches(batches, place: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def cut_batches(batches, place: int, kind: np.dtype) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Rows of batches, with the ids (in column place) and their lengths, about STEP ids at a time; a longer text is one alone."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        total = np.cumsum(pc.list_value_length(batch.column(place)).to_numpy(zero_copy_only=False).astype(np.int64))
+        total = np.cumsum(flat_ids(batch.column(place), kind)[1])
         at = 0
         while at < len(total):
             until = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + STEP, side="right")))
             part = batch.slice(at, until - at)
-            yield part, *flat_ids(part.column(place))
+            yield part, *flat_ids(part.column(place), kind)
             at = until
 
 
-def summed(ids: DataFrame, cells: int, counted, end: int) -> tuple[np.ndarray, np.ndarray]:
+def keyed(keys: np.ndarray, n: np.ndarray, of_ids: bool) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n.astype(np.int64)), pa.array(np.full(len(keys), of_ids))], names=["key", "n", "of_ids"])
+
+
+def all_counts(ids: DataFrame, path: str) -> DataFrame:
+    """key, n, of_ids over all texts of ids: of ids, and of words by digest."""
+
+    def run(batches):
+        kind, seen = id_type(path), np.zeros(encoder(path).end + 1, np.int64)
+        for _, own, _ in cut_batches(batches, 0, kind):
+            seen += np.bincount(own, minlength=len(seen))
+            yield keyed(*np.unique(word_keys(own, word_starts(own, path)), return_counts=True), False)
+        some = np.flatnonzero(seen)
+        yield keyed(some, seen[some], True)
+
+    return ids.select("ids").mapInArrow(run, "key bigint, n bigint, of_ids boolean").groupBy("of_ids", "key").agg(F.sum("n").alias("n"))
+
+
+def summed(ids: DataFrame, cells: int, counted, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Keys and counts over all texts, where counted(before, ids) gives keys below cells."""
 
     def run(batches):
         table = np.zeros(cells, np.int32)
-        for _, own, _ in cut_batches(batches, 0):
-            own = own & (FIRST - 1)
-            np.add.at(table, counted(np.concatenate(([end], own[:-1])), own), 1)  # a text starts after an end
+        for _, own, _ in cut_batches(batches, 0, id_type(path)):
+            np.add.at(table, counted(before_of(own, path), own), 1)
         some = np.flatnonzero(table)
         for at in range(0, len(some), STEP):
             keys = some[at : at + STEP]
@@ -169,28 +187,37 @@ def summed(ids: DataFrame, cells: int, counted, end: int) -> tuple[np.ndarray, n
     return found["key"].to_numpy(), found["n"].to_numpy()
 
 
+def before_of(ids: np.ndarray, path: str) -> np.ndarray:
+    """The id before each; a text starts after an end."""
+    out = np.empty_like(ids)
+    out[1:], out[:1] = ids[:-1], encoder(path).end
+    return out
+
+
 class Kinds:
     """What the model knows of ids: the embedding row and the kind of each."""
 
-    def __init__(self, ids: DataFrame, size: int, seed: int = 1):
+    def __init__(self, ids: DataFrame, counts: DataFrame, path: str, seed: int = 1):
+        size = encoder(path).end + 1
         n = np.zeros(size)
-        keys, counts = summed(ids, size, lambda _, own: own, size - 1)
-        n[keys] = counts
+        for r in counts.where("of_ids").collect():  # size at most
+            n[r.key] = r.n
         order = np.argsort(-n, kind="stable")
         self.rows = (OWN_ROWS + np.arange(size) % SHARED_ROWS).astype(np.int32)
         self.rows[order[:OWN_ROWS]] = np.arange(min(OWN_ROWS, size))
         columns = [int(x) for x in order[:COLUMNS] if n[x]]
         table = np.zeros((size, COLUMNS), np.float32)
         if columns:
-            at = np.full(size, -1, np.int64)
+            at = np.full(size, -1, np.int32)
             at[columns] = np.arange(len(columns))
 
             def counted(before, own):
                 k = at[own]
-                return (before.astype(np.int64) * COLUMNS + k)[k >= 0]
+                there = np.flatnonzero(k >= 0)
+                return before[there].astype(np.int32) * COLUMNS + k[there]
 
-            keys, counts = summed(ids, size * COLUMNS, counted, size - 1)
-            table.reshape(-1)[keys] = counts
+            keys, found = summed(ids, size * COLUMNS, counted, path)
+            table.reshape(-1)[keys] = found
         self.kinds = clustered(table, n, seed).astype(np.int32)
 
 
@@ -216,11 +243,11 @@ def clustered(table: np.ndarray, n: np.ndarray, seed: int) -> np.ndarray:
     return kinds
 
 
-def expert_counts(ids: DataFrame, kinds: np.ndarray) -> np.ndarray:
+def expert_counts(ids: DataFrame, kinds: np.ndarray, path: str) -> np.ndarray:
     """How often each id (column) follows ids of each kind (row) in all training texts."""
     size = len(kinds)
     experts = np.zeros((EXPERTS, size), np.float32)
-    keys, n = summed(ids, EXPERTS * size, lambda before, own: kinds[before].astype(np.int64) * size + own, size - 1)
+    keys, n = summed(ids, EXPERTS * size, lambda before, own: kinds[before] * np.int32(size) + own, path)
     experts.reshape(-1)[keys] = n
     return experts
 
@@ -236,18 +263,7 @@ def unpacked(data: bytes) -> dict[str, np.ndarray]:
         return {k: f[k] for k in f.files}
 
 
-def word_counts(ids: DataFrame) -> DataFrame:
-    """key, n over all texts of ids: words by digest."""
-
-    def run(batches):
-        for _, own, _ in cut_batches(batches, 0):
-            keys, n = np.unique(word_keys(own, word_starts(own)), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n.astype(np.int64))], names=["key", "n"])
-
-    return ids.select("ids").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-def by_part(batches) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def by_part(batches, kind: np.dtype) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Each part with the ids and the lengths of its texts, from batches in which a part's rows lie side by side."""
     held, ids, lengths = None, [], []
     for batch in batches:
@@ -260,8 +276,8 @@ def by_part(batches) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
                 yield int(held), np.concatenate(ids), np.concatenate(lengths)
                 ids, lengths = [], []
             held = parts[a]
-            own, n = flat_ids(batch.column(1).slice(a, b - a))
-            ids.append(own & (FIRST - 1))
+            own, n = flat_ids(batch.column(1).slice(a, b - a), kind)
+            ids.append(own)
             lengths.append(n)
     if ids:
         yield int(held), np.concatenate(ids), np.concatenate(lengths)
@@ -270,15 +286,15 @@ def by_part(batches) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 WEIGHTS = "part bigint, p binary, w double"
 
 
-def fitted(ids: DataFrame, known: Kinds, experts: np.ndarray) -> dict[str, np.ndarray]:
+def fitted(ids: DataFrame, known: Kinds, experts: np.ndarray, path: str) -> dict[str, np.ndarray]:
     """Weights: every part of the training texts trains from the same start; the mean by length, in order of parts."""
     first = attention.initial()
     shared = ids.sparkSession.sparkContext.broadcast((known.kinds, known.rows, experts))
 
     def run(batches):
         kinds, rows_of, experts = shared.value
-        for part, own, lengths in by_part(batches):
-            before = np.concatenate(([len(kinds) - 1], own[:-1]))
+        for part, own, lengths in by_part(batches, id_type(path)):
+            before = before_of(own, path)
             q = attention.trained(first, rows_of[before], kinds[before], own, experts, lengths, RATE)
             yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([packed(q)], pa.binary()), pa.array([float(len(own))])], names=["part", "p", "w"])
 
@@ -314,18 +330,17 @@ def means(batches):
 class Model:
     """What scoring needs on the executors, all of bounded size."""
 
-    def __init__(self, known: Kinds, experts: np.ndarray, weights: dict[str, np.ndarray], head: tuple[np.ndarray, np.ndarray], n: int, v: int):
+    def __init__(self, known: Kinds, experts: np.ndarray, weights: dict[str, np.ndarray], head: tuple[np.ndarray, np.ndarray], n: int, v: int, path: str):
         self.rows, self.kinds, self.experts, self.weights, self.head = known.rows, known.kinds, experts, weights, head
-        self.n, self.v = n, v
+        self.n, self.v, self.path = n, v, path
 
     def total(self) -> float:
         return self.n + 0.1 * (self.v + 1)
 
     def tokens(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """log10 of the probability of every id."""
-        own = ids & (FIRST - 1)
-        before = np.concatenate(([len(self.kinds) - 1], own[:-1]))
-        return attention.log10_probabilities(self.weights, (self.rows[before], self.kinds[before]), own, self.experts, lengths)
+        before = before_of(ids, self.path)
+        return attention.log10_probabilities(self.weights, (self.rows[before], self.kinds[before]), ids, self.experts, lengths)
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
         """Of words by digest; 0 where the head lacks them."""
@@ -354,14 +369,14 @@ def score(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or default_tokenizer()
     ids = tokenized(numbered(docs), path)
     training = ids.where("NOT held_out")
-    size = encoder(path).end + 1
-    known = Kinds(training, size)
-    experts = expert_counts(training, known.kinds)
+    counts = materialize(all_counts(training, path), "counts", drop_shuffles=True)
+    known = Kinds(training, counts, path)
+    experts = expert_counts(training, known.kinds, path)
     whole = experts.sum(0) + 0.01
     experts += PSEUDO * whole / whole.sum()
     experts = np.ascontiguousarray((experts / experts.sum(1, keepdims=True)).T)
 
-    words = materialize(word_counts(training), "counts", drop_shuffles=True)
+    words = counts.where("NOT of_ids").select("key", "n")
     n, v = (x or 0 for x in words.agg(F.sum("n"), F.count(F.lit(1))).first())
     often = words.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).limit(HEAD).collect()
     least, have = math.inf, 0
@@ -373,7 +388,7 @@ def score(docs: DataFrame, path: str | None = None) -> DataFrame:
     head = words.where(F.col("n") >= least).toArrow() if least < math.inf else None
     keys, values = (head["key"].to_numpy(), head["n"].to_numpy()) if head else (np.empty(0, np.int64),) * 2
     order = np.argsort(keys)
-    model = Model(known, experts, fitted(training, known, experts), (keys[order], values[order]), n, v)
+    model = Model(known, experts, fitted(training, known, experts, path), (keys[order], values[order]), n, v, path)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return scored(ids, words.where(F.col("n") < least) if least < math.inf else words, shared)
 
@@ -385,9 +400,9 @@ def scored(ids: DataFrame, tail: DataFrame, shared) -> DataFrame:
 
     def run(batches):
         model = shared.value
-        for part, own, lengths in cut_batches(batches, 3):
+        for part, own, lengths in cut_batches(batches, 3, id_type(model.path)):
             n_texts = len(lengths)
-            starts = word_starts(own)
+            starts = word_starts(own, model.path)
             keys = word_keys(own, starts)
             attended = np.add.reduceat(model.tokens(own, lengths), starts)
             c = model.counts(keys)
@@ -419,8 +434,8 @@ def scored(ids: DataFrame, tail: DataFrame, shared) -> DataFrame:
                 names=["ord", "key", "is_text", "doc_id", "held_out", "n_tokens", "n_known", "base", "own", "joint", "fit"],
             )
 
-    id_type = ids.schema["doc_id"].dataType.simpleString()
-    rows = ids.select("ord", "doc_id", "held_out", "ids").mapInArrow(run, f"ord bigint, key bigint, is_text boolean, doc_id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, base double, own double, joint array<double>, fit array<double>")
+    doc_id = ids.schema["doc_id"].dataType.simpleString()
+    rows = ids.select("ord", "doc_id", "held_out", "ids").mapInArrow(run, f"ord bigint, key bigint, is_text boolean, doc_id {doc_id}, held_out boolean, n_tokens bigint, n_known bigint, base double, own double, joint array<double>, fit array<double>")
     rows = rows.join(tail.select("key", F.col("n").alias("c")), "key", "left").withColumn("c", F.when(~F.col("is_text"), F.coalesce("c", F.lit(0))))
     rows = materialize(rows, "rows", drop_shuffles=True)
     release(ids)

@@ -47,8 +47,11 @@ class Encoder:
         self.encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.end = max(ranks.values()) + 1  # no id of a token
         self.sizes = np.zeros(self.end, np.int32)
+        self.opens = np.zeros(self.end + 1, bool)  # of tokens with a space in front, and the end
+        self.opens[self.end] = True
         for token, i in ranks.items():
             self.sizes[i] = len(token)
+            self.opens[i] = token[:1] == b" "
 
     def whole(self, text: str) -> np.ndarray:
         if not self.path.endswith(".json"):
