@@ -80,18 +80,25 @@ def double_encoded(file_name: Column, struct: Column) -> Column:
 
 
 def blanked(entry: Column, new_name: Column, key: str = "personal_number") -> Column:
-    """A metadata entry under a new file name, with one field of its payload emptied; unchanged
-    payloads where that isn't an object."""
-    outer = json_object(entry)
-    inner = json_object(F.try_variant_get(outer, "$.ground_truth", "string"))
-    parsed = F.try_variant_get(inner, "$.gt_parse", "variant")
-    as_map = F.try_variant_get(inner, "$.gt_parse", "map<string,string>")
-    others = F.map_filter(as_map, lambda k, _: k != key)
-    emptied = F.to_json(F.create_map(F.lit("gt_parse"), F.map_concat(others, F.create_map(F.lit(key), F.lit("")))))
-    rest = F.map_filter(F.try_variant_get(outer, "$", "map<string,string>"), lambda k, _: ~k.isin("file_name", "ground_truth"))
-    truth = F.when(F.schema_of_variant(parsed).startswith("OBJECT"), emptied).otherwise(F.try_variant_get(outer, "$.ground_truth", "string"))
-    made = F.map_concat(F.create_map(F.lit("file_name"), new_name), F.coalesce(rest, F.expr("cast(map() as map<string,string>)")))
-    return F.to_json(F.when(truth.isNotNull(), F.map_concat(made, F.create_map(F.lit("ground_truth"), truth))).otherwise(made))
+    """A metadata entry under a new file name, with one field of its payload emptied; all else, of whatever type, stays
+    as it is. Payloads that aren't objects within a string are left alone."""
+    members = lambda v: F.try_variant_get(v, "$", "map<string,variant>")
+    one = lambda k, v: F.create_map(F.lit(k), v.cast("variant"))
+    others = lambda m, *keys: F.map_filter(m, lambda k, _: ~k.isin(*keys))
+
+    def made(outer):
+        truth = F.when(F.schema_of_variant(F.try_variant_get(outer, "$.ground_truth", "variant")) == "STRING", F.try_variant_get(outer, "$.ground_truth", "string"))
+
+        def emptied(inner):
+            parsed = F.try_variant_get(inner, "$.gt_parse", "variant")
+            blank = F.to_json(F.map_concat(others(members(parsed), key), one(key, F.lit(""))))
+            whole = F.map_concat(others(members(inner), "gt_parse"), F.create_map(F.lit("gt_parse"), F.parse_json(blank)))
+            return F.when(F.schema_of_variant(parsed).startswith("OBJECT"), F.to_json(whole))
+
+        named = F.map_concat(others(members(outer), "file_name"), one("file_name", new_name))
+        return let(let(json_object(truth), emptied), lambda t: F.to_json(F.when(t.isNull(), named).otherwise(F.map_concat(others(named, "ground_truth"), one("ground_truth", t)))))
+
+    return let(json_object(entry), lambda outer: F.when(outer.isNotNull(), made(outer)))
 
 
 def overlay_text(lines: Column) -> Column:

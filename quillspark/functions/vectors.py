@@ -47,19 +47,26 @@ def classified(logits: Column, names: list[str]) -> Column:
     return F.struct(label.alias("label"), k.alias("class_id"), F.round(F.get(softmax(logits), k), 6).alias("confidence"))
 
 
-def decoded_faces(classes: Column, objects: Column, boxes: Column, stride: int, columns: int, scale_x: Column, scale_y: Column, least: float = 0.7) -> Column:
-    """Faces of one level of a grid detector: array of (left, top, width, height, score).
+def decoded_faces(classes: Column, objects: Column, boxes: Column, points: Column, stride: int, columns: int, scale_x: Column, scale_y: Column, least: float = 0.7) -> Column:
+    """Faces of one level of a grid detector: array of (left, top, width, height, landmarks, score).
 
-    classes, objects: a value per cell; boxes: per cell offsets of the center, and log sizes, in strides."""
+    classes, objects: a value per cell; boxes: per cell offsets of the center, and log sizes, in strides; points: per cell
+    five landmarks as offsets in strides, x and y in turn. Levels, one per stride, are joined by all_levels."""
     clip = lambda x: F.least(F.greatest(x.cast("double"), F.lit(0.0)), F.lit(1.0))
 
     def cell(c, i):
-        o, b = F.get(objects, i), F.get(boxes, i)
+        o, b, marks = F.get(objects, i), F.get(boxes, i), F.get(points, i)
         row, column = F.floor(i / columns), i % columns
         w, h = F.exp(b[2].cast("double")) * stride, F.exp(b[3].cast("double")) * stride
         x, y = (column + b[0]) * stride, (row + b[1]) * stride
+        landmarks = F.transform(marks, lambda p, k: F.when(k % 2 == 0, (p.cast("double") + column) * stride * scale_x).otherwise((p.cast("double") + row) * stride * scale_y))
         return F.struct(
-            ((x - w / 2) * scale_x).alias("left"), ((y - h / 2) * scale_y).alias("top"), (w * scale_x).alias("width"), (h * scale_y).alias("height"), F.sqrt(clip(c) * clip(o)).alias("score")
+            ((x - w / 2) * scale_x).alias("left"), ((y - h / 2) * scale_y).alias("top"), (w * scale_x).alias("width"), (h * scale_y).alias("height"), landmarks.alias("landmarks"), F.sqrt(clip(c) * clip(o)).alias("score")
         )
 
     return F.filter(F.transform(classes, cell), lambda f: f["score"] >= least)
+
+
+def all_levels(*levels: Column) -> Column:
+    """The faces of all levels of a detector, one after the other."""
+    return F.concat(*levels)

@@ -21,22 +21,25 @@ def distinct_faces(faces: DataFrame) -> DataFrame:
 
 
 def suppressed(faces: DataFrame, overlap: float = 0.3, least: float = 0.7, most: int = 5000) -> DataFrame:
-    """Faces that no better face of the page overlaps by more than the limit; a fold by score, page by page."""
+    """Faces that no better face of the page overlaps by more than the limit; a fold by score, page by page.
+
+    Boxes count as whole numbers, at least 1 wide and high; a face must score above least (as a 32-bit number).
+    most: of the faces with the highest scores, as many are looked at; a detector's own limit per page, not one of ours."""
 
     def keep(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(["score", "order"], ascending=[False, True], kind="stable").head(most).reset_index(drop=True)
-        x, y, w, h = (f[k].to_numpy(float) for k in ("left", "top", "width", "height"))
+        x, y = (np.trunc(f[k].to_numpy(float)) for k in ("left", "top"))
+        w, h = (np.maximum(1, np.trunc(f[k].to_numpy(float))) for k in ("width", "height"))
         left, alive = np.ones(len(f), bool), []
         for i in range(len(f)):
             if not left[i]:
                 continue
             alive.append(i)
             both = np.clip(np.minimum(x + w, x[i] + w[i]) - np.maximum(x, x[i]), 0, None) * np.clip(np.minimum(y + h, y[i] + h[i]) - np.maximum(y, y[i]), 0, None)
-            union = w * h + w[i] * h[i] - both
-            left &= ~((union > 0) & (both > overlap * union))
+            left &= ~(both > np.float32(overlap) * (w * h + w[i] * h[i] - both))
         return f.iloc[alive]
 
-    return faces.where(F.col("score") >= least).groupBy("doc_id").applyInPandas(keep, faces.schema)
+    return faces.where(F.col("score").cast("float") > F.lit(least).cast("float")).groupBy("doc_id").applyInPandas(keep, faces.schema)
 
 
 def as_box(df: DataFrame) -> DataFrame:

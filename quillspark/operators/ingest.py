@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import basename, normalized_path
@@ -18,11 +18,10 @@ def without_duplicates(batch: DataFrame, existing: DataFrame, order: list[Column
     Equal on either key is a duplicate; two anti joins by key, where one join on OR would compare all pairs.
     Of rows with one name the first counts; equal paths have equal names."""
     batch, existing = with_keys(batch), with_keys(existing)
-    first = F.row_number().over(Window.partitionBy("lower_name").orderBy(*order))
     fresh = batch.join(existing.select("normalized_path").distinct(), "normalized_path", "left_anti")
     fresh = fresh.join(existing.select("lower_name").distinct(), "lower_name", "left_anti")
     # A path has one name, so rows dropped above can't hide a row that stays.
-    return fresh.withColumn("_nth", first).where("_nth = 1").drop("_nth")
+    return first_of_each(fresh, "lower_name", order)
 
 
 def outcome_counts(df: DataFrame, outcome: str = "outcome") -> DataFrame:
@@ -31,9 +30,15 @@ def outcome_counts(df: DataFrame, outcome: str = "outcome") -> DataFrame:
 
 def one_per_content(df: DataFrame, content: Column, order: list[Column]) -> DataFrame:
     """The first row of every content, by digest, and how many there were."""
-    rows = df.withColumn("content_key", F.sha2(content, 256))
-    by = Window.partitionBy("content_key")
-    return rows.withColumn("copies", F.count(F.lit(1)).over(by)).withColumn("_nth", F.row_number().over(by.orderBy(*order))).where("_nth = 1").drop("_nth")
+    return first_of_each(df.withColumn("content_key", F.sha2(content, 256)), "content_key", order, "copies")
+
+
+def first_of_each(df: DataFrame, key: str, order: list[Column], copies: str | None = None) -> DataFrame:
+    """The first row of every key in ascending order, and how many there were: an aggregate that
+    combines before its shuffle, so a key's rows never meet in one task."""
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns if c != key])
+    found = df.groupBy(key).agg(F.min_by(row, F.struct(*order)).alias("_row"), *([F.count(F.lit(1)).alias(copies)] if copies else []))
+    return found.select(key, "_row.*", *([copies] if copies else []))
 
 
 def source_name(output: Column, mode: str) -> Column:

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, StringType
 
-from quillspark.functions import dates, text
+from quillspark.functions import dates, geometry, text
 from quillspark.schema import DATE_FIELDS, FIELDS
 
-TAGS = {f: f.upper() for f in FIELDS}
+#: The tag of each field, where it isn't the field's name in capitals.
+SHORT_TAGS = {"date_of_birth": "DOB", "place_of_birth": "POB", "issuing_authority": "PLACE_OF_ISSUE"}
+TAGS = {f: SHORT_TAGS.get(f, f.upper()) for f in FIELDS}
 
 
 def page_tokens(words: DataFrame) -> DataFrame:
@@ -98,6 +100,18 @@ def items(df: DataFrame, key: str = "doc_id") -> DataFrame:
     return ordered_payload(df, key).select(key, F.posexplode(F.arrays_zip("tokens", "bboxes", "ner_tags")).alias("nth", "z")).select(key, "nth", F.col("z.tokens").alias("text"), F.col("z.ner_tags").alias("label"), F.col("z.bboxes").alias("bbox"))
 
 
+def valid_payload(tokens: Column, bboxes: Column, ner_tags: Column) -> Column:
+    """A payload may be saved if its three arrays are there and equally long."""
+    return F.coalesce((F.size(tokens) == F.size(bboxes)) & (F.size(tokens) == F.size(ner_tags)) & (F.size(tokens) >= 0), F.lit(False))
+
+
+def turned_payloads(payloads: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Payloads(tokens, bboxes, ner_tags, angle, image_width, image_height) after their pages are turned by
+    angle; boxes that aren't four numbers stay as they are."""
+    turn = F.transform("bboxes", lambda b: geometry.turned(b, F.col("angle"), F.col("image_width"), F.col("image_height")))
+    return payloads.select(key, "tokens", F.when(F.pmod("angle", F.lit(360)) == 0, F.col("bboxes")).otherwise(turn).alias("bboxes"), "ner_tags")
+
+
 def latest_labels(df: DataFrame) -> DataFrame:
     return df.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("updated_at")))).where("_nth = 1").drop("_nth")
 

@@ -8,16 +8,16 @@ from pyspark.sql import functions as F
 from quillspark.functions import geometry
 
 
-def line_numbers(boxes: Column, tolerance: Column) -> Column:
-    """boxes: array of (top, left, nth) by top and left; for each the number of its line.
+def line_starts(boxes: Column, tolerance: Column) -> Column:
+    """boxes: array of (top, left, nth) by top and left; the places (from 1) at which a line starts.
 
-    A box joins the line if its top is within tolerance of the line's first; a fold in the JVM."""
-    start = F.struct(F.lit(None).cast("int").alias("top"), F.lit(-1).alias("line"), F.array().cast("array<int>").alias("out"))
+    A box joins the line if its top is within tolerance of the line's first; a fold in the JVM that holds the starts only."""
+    start = F.struct(F.lit(None).cast("int").alias("top"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
 
     def step(a, b):
         stays = F.coalesce(F.abs(b["top"] - a["top"]) <= tolerance, F.lit(False))
-        line = F.when(stays, a["line"]).otherwise(a["line"] + 1)
-        return F.struct(F.when(stays, a["top"]).otherwise(b["top"]).cast("int").alias("top"), line.alias("line"), F.concat(a["out"], F.array(line)).alias("out"))
+        n = a["n"] + 1
+        return F.when(stays, F.struct(a["top"].alias("top"), n.alias("n"), a["out"].alias("out"))).otherwise(F.struct(b["top"].cast("int").alias("top"), n.alias("n"), F.concat(a["out"], F.array(n)).alias("out")))
 
     return F.aggregate(boxes, start, step, lambda a: a["out"])
 
@@ -25,11 +25,12 @@ def line_numbers(boxes: Column, tolerance: Column) -> Column:
 def in_reading_order(entries: DataFrame, key: str = "doc_id", nth: str = "nth") -> DataFrame:
     """entries(key, nth, left, top, right, bottom, ...) with line and position (both from 1).
 
-    A page's entries are folded together; only their boxes are collected."""
+    A page's entries are folded together; only their boxes are collected, a page's worth in a row."""
     height = F.greatest(F.lit(1), F.col("bottom") - F.col("top"))
     pages = entries.groupBy(key).agg(F.median(height).alias("m"), F.sort_array(F.collect_list(F.struct(F.col("top").cast("int").alias("top"), F.col("left").cast("int").alias("left"), F.col(nth).alias("nth")))).alias("boxes"))
-    pages = pages.withColumn("lines", line_numbers(F.col("boxes"), F.greatest(F.lit(10), F.floor(F.col("m") * 0.6))))
-    flat = pages.select(key, F.explode(F.arrays_zip("boxes", "lines")).alias("z")).select(key, F.col("z.boxes.nth").alias(nth), (F.col("z.lines") + 1).alias("line"))
+    pages = pages.withColumn("starts", line_starts(F.col("boxes"), F.greatest(F.lit(10), F.floor(F.col("m") * 0.6))))
+    lines = F.transform("starts", lambda s, k: F.slice("boxes", s, F.coalesce(F.get("starts", k + 1), F.size("boxes") + 1) - s))
+    flat = pages.select(key, F.posexplode(lines).alias("line", "own")).select(key, "line", F.explode("own").alias("z")).select(key, F.col("z.nth").alias(nth), (F.col("line") + 1).alias("line"))
     rows = entries.join(flat, [key, nth])
     return rows.withColumn("position", F.row_number().over(Window.partitionBy(key).orderBy("line", "left", "top", nth)))
 

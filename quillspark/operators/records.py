@@ -16,12 +16,20 @@ def with_status(df: DataFrame, status: str | None, column: str = "status") -> Da
 
 
 def page(df: DataFrame, number: int, size: int, key: str = "id") -> DataFrame:
-    """One page by key; a top-k plan, nothing is sorted whole."""
+    """One page by key; a top-k plan, nothing is sorted whole. Every task keeps the rows up to the page's end, so deep
+    pages cost as much as all before them: page_after goes on from a key instead."""
     if number < 1 or not 1 <= size <= MAX_PAGE:
         raise ValueError(f"pages start at 1 and hold 1 to {MAX_PAGE} rows")
     return df.orderBy(key).offset((number - 1) * size).limit(size)
 
 
+def page_after(df: DataFrame, last: int | None, size: int, key: str = "id") -> DataFrame:
+    """The page that follows the key last (null: the first one): a filter that reaches the scan, and a top-k of size rows."""
+    if not 1 <= size <= MAX_PAGE:
+        raise ValueError(f"pages hold 1 to {MAX_PAGE} rows")
+    return (df if last is None else df.where(F.col(key) > last)).orderBy(key).limit(size)
+
+
 def page_count(total: Column, size: int) -> Column:
     return F.greatest(F.lit(1), F.ceil(total / size)).cast("bigint")
 

@@ -6,16 +6,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import geometry, scores
+from quillspark.functions.base import let
 from quillspark.functions.text import region_text
 
 
 def scored_lines(lines: DataFrame) -> DataFrame:
     """doc_id, image size, order, box sides, text and score of the lines that may belong to a region."""
     b = F.col("bbox")
-    rows = lines.where("bbox IS NOT NULL AND image_width > 0 AND image_height > 0").withColumn("clean", region_text(F.coalesce("text", F.lit(""))))
-    rows = rows.where(F.length("clean") >= scores.MIN_LENGTH)
-    score = scores.region_score(F.col("clean"), b["left"], b["top"], b["left"] + b["width"], b["bottom"], F.col("image_width"), F.col("image_height"))
-    return rows.select("doc_id", "image_width", "image_height", "order", "clean", b["top"].alias("top"), b["bottom"].alias("bottom"), score.alias("score")).where(F.col("score") >= scores.MIN_SCORE)
+    rows = lines.where("bbox IS NOT NULL AND image_width > 0 AND image_height > 0")
+
+    def scored(clean):
+        score = scores.region_score(clean, b["left"], b["top"], b["left"] + b["width"], b["bottom"], F.col("image_width"), F.col("image_height"))
+        return F.when(F.length(clean) >= scores.MIN_LENGTH, F.struct(clean.alias("clean"), score.alias("score")))
+
+    # Cleaned and scored once, in a generator: a filter on either would be pushed below and compute both again.
+    found = F.filter(F.array(let(region_text(F.coalesce("text", F.lit(""))), scored)), lambda x: x["score"] >= scores.MIN_SCORE)
+    rows = rows.select("doc_id", "image_width", "image_height", "order", b["top"].alias("top"), b["bottom"].alias("bottom"), F.explode(found).alias("x"))
+    return rows.select("doc_id", "image_width", "image_height", "order", "x.clean", "top", "bottom", "x.score")
 
 
 def regions(lines: DataFrame) -> DataFrame:

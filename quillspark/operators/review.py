@@ -9,6 +9,7 @@ from quillspark.functions.text import basename
 from quillspark.operators.records import natural_order
 
 DECISIONS = ["approved", "rejected"]
+SPAN = 100_000
 
 
 def decisions_of(states: DataFrame) -> DataFrame:
@@ -43,8 +44,21 @@ def positions(files: DataFrame, group: list[Column] | None = None) -> DataFrame:
     """file_name, position from 1, previous and next name ('' at the ends), in natural order.
 
     group: columns within which files are ordered, such as their folder."""
-    order = Window.partitionBy(*(group or [F.lit(0)])).orderBy(*natural_order(ignore="_mask"))
-    return files.select("*", F.row_number().over(order).alias("position"), F.lag("file_name", 1, "").over(order).alias("previous"), F.lead("file_name", 1, "").over(order).alias("next"))
+    # Names are windowed within spans: numbers by SPAN, others by how they begin. Only the spans, a small table, are
+    # ordered as a whole, and give the offsets and the names beyond their ends.
+    k = _key(F.col("file_name"))
+    span = F.when(k["a"], F.concat(F.lit("1"), F.substring(k["c"], 1, 3))).otherwise(F.concat(F.lit("0"), F.lpad(F.floor(k["b"] / SPAN).cast("string"), 38, "0")))
+    rows = files.withColumn("_g", F.to_json(F.struct(*[c.alias(f"g{i}") for i, c in enumerate(group or [F.lit(0)])]))).withColumn("_span", span)
+    ends = rows.groupBy("_g", "_span").agg(F.count(F.lit(1)).alias("_n"), F.min_by("file_name", k).alias("_low"), F.max_by("file_name", k).alias("_high"))
+    by = Window.partitionBy("_g").orderBy("_span")
+    ends = ends.select("_g", "_span", (F.sum("_n").over(by) - F.col("_n")).alias("_before"), F.lag("_high", 1, "").over(by).alias("_previous"), F.lead("_low", 1, "").over(by).alias("_next"))
+    order = Window.partitionBy("_g", "_span").orderBy(*natural_order(ignore="_mask"))
+    rows = rows.join(ends, ["_g", "_span"]).withColumns({
+        "position": (F.col("_before") + F.row_number().over(order)).cast("int"),
+        "previous": F.coalesce(F.lag("file_name").over(order), "_previous"),
+        "next": F.coalesce(F.lead("file_name").over(order), "_next"),
+    })
+    return rows.drop("_g", "_span", "_before", "_previous", "_next")
 
 
 def resume_at(files: DataFrame, decided: DataFrame, last: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillspark.functions import geometry, text, vectors
+from quillspark.functions import dates, geometry, scores, text, vectors
 from quillspark.operators import candidates, faces, labelling, reading, regions
 from quillspark.plans.registry import query, read
 from quillspark.plans.textual import CANONICAL
@@ -99,6 +99,32 @@ def country_match(spark, sf):
     return candidates.best_matches(wanted, found, fuzzy=False).select("doc_id", "score", "matched")
 
 
+@query(
+    f"WITH {WS}, s AS (SELECT doc_id, {CANONICAL.format(x='array_to_string(w[a:a + k - 1], chr(32))')} AS n FROM lw, unnest(range(1, len(w) + 1)) AS q(a), unnest(range(1, 9)) AS p(k) WHERE a + k - 1 <= len(w) UNION ALL SELECT doc_id, {CANONICAL.format(x='line')} FROM ls),"
+    " m AS (SELECT doc_id, bool_or(replace(n, ' ', '') IN ('F', 'FEMALE', 'NU') OR n IN ('F', 'FEMALE', 'NU')) AS hit FROM s WHERE n <> '' GROUP BY 1)"
+    " SELECT doc_id, CASE WHEN coalesce(hit, FALSE) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score, coalesce(hit, FALSE) AS matched, CASE WHEN coalesce(hit, FALSE) THEN 'exact' ELSE 'none' END AS match_type FROM documents LEFT JOIN m USING (doc_id)"
+)
+def code_match(spark, sf):
+    """Whether any span of a page is one of the ways to write a code."""
+    wanted = expected_fields(spark, sf).where("field_key = 'sex'")
+    found = candidates.all_candidates(page_words(spark, sf), page_lines(spark, sf), [])
+    return candidates.best_matches(wanted, found, fuzzy=False).select("doc_id", "score", "matched", "match_type")
+
+
+@query(
+    "SELECT o_orderkey, CAST(CASE o_orderkey % 5 WHEN 2 THEN 0 WHEN 3 THEN 0 WHEN 4 THEN 0.86 ELSE 1 END AS DOUBLE) AS score, CASE o_orderkey % 5 WHEN 2 THEN 'none' WHEN 3 THEN 'none' WHEN 4 THEN 'anchor_ocr_date' ELSE 'date' END AS match_type FROM orders"
+)
+def date_match(spark, sf):
+    """The date scorer on a day in two forms, another month of its year alone and beside a label, and no date."""
+    k, d = F.col("o_orderkey") % 5, F.col("o_orderdate")
+    other = F.add_months(F.trunc(d, "month"), F.when(F.month(d) == 12, -1).otherwise(1))
+    written = F.when(k == 0, F.date_format(d, "d MMM yyyy")).when(k == 1, F.date_format(d, "dd-MM-yyyy")).when(k.isin(2, 4), F.date_format(other, "dd/MM/yyyy")).otherwise("no date 12")
+    rows = read(spark, sf, "orders").select("o_orderkey", F.date_format(d, "dd/MM/yyyy").alias("e"), written.alias("t"), F.when(k == 4, "anchor_right").otherwise("word_span").alias("source"))
+    n = text.canonical(F.col("t"))
+    s = scores.date_score(dates.variants(F.col("e")), dates.signature(F.col("e")), F.col("t"), n, F.replace(n, F.lit(" "), F.lit("")), F.col("source"), F.lit(0.95))
+    return rows.select("o_orderkey", s.alias("s")).select("o_orderkey", F.col("s.score").alias("score"), F.col("s.match_type").alias("match_type"))
+
+
 def sample_anchors(spark, sf):
     """The first word of every line as a label."""
     w = page_words(spark, sf).where("j = 0")
@@ -118,9 +144,23 @@ SIDES = {
 )
 def near_labels(spark, sf):
     """Words to the right of, below and left of each line's first word; joined by document."""
-    rows = sample_anchors(spark, sf).join(page_words(spark, sf), "doc_id")
-    n = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
-    return rows.groupBy("doc_id").agg(n(candidates.right_of("surname")).alias("n_right"), n(candidates.below("surname")).alias("n_below"), n(candidates.left_of()).alias("n_left"))
+    return near_counts(spark, sf, "surname")
+
+
+def near_counts(spark, sf, field):
+    found = sample_anchors(spark, sf)
+    sides = [(0, "anchor_right", candidates.right_of(field)), (1, "anchor_below", candidates.below(field)), (2, "anchor_left", candidates.left_of())]
+    hits = candidates.near_pairs(found, page_words(spark, sf).withColumn("n", F.col("text")), sides).select("doc_id", "side")
+    rows = found.select("doc_id", F.lit(-1).alias("side")).union(hits)  # so that a document without any has a row
+    return rows.groupBy("doc_id").agg(*[F.count_if(F.col("side") == k).alias(n) for k, n in enumerate(("n_right", "n_below", "n_left"))])
+
+
+@query(
+    f"WITH {WS} SELECT a.doc_id, count(*) FILTER (WHERE {SIDES['right'].replace('2.8', '5.8')}) AS n_right, count(*) FILTER (WHERE {SIDES['below'].replace('(a.r - a.l) * 1.8', '(a.r - a.l) * 5.8')}) AS n_below, count(*) FILTER (WHERE {SIDES['left']}) AS n_left FROM b AS a {MEASURES} GROUP BY 1"
+)
+def near_date_labels(spark, sf):
+    """The same with the longer reach that dates have."""
+    return near_counts(spark, sf, "date_of_birth")
 
 
 @query(
@@ -261,10 +301,10 @@ def reading_order(spark, sf):
 
 @query()
 def label_payloads(spark, sf):
-    """BIO tags of the first words of each document's second line, as surname and given names."""
+    """BIO tags of each document's second line: its first word as surname, all others as given names."""
     d = read(spark, sf, "documents")
     words = F.array_remove(F.split(F.coalesce(F.get(F.split("text", "\n"), F.lit(1)), F.lit("")), " "), "")
-    f = d.select("doc_id", F.coalesce(F.get(words, F.lit(0)), F.lit("")).alias("surname"), F.array_join(F.slice(words, 2, 2), " ").alias("given_names"), F.lit("01/02/2020").alias("date_of_birth"))
+    f = d.select("doc_id", F.coalesce(F.get(words, F.lit(0)), F.lit("")).alias("surname"), F.array_join(F.slice(words, 2, 1 << 30), " ").alias("given_names"), F.lit("01/02/2020").alias("date_of_birth"))
     w = page_words(spark, sf).withColumn("order", F.col("i") * 1000000 + F.col("j"))
     return labelling.payloads(w, f).select("doc_id", F.size("tokens").alias("n"), F.array_join(F.array_remove("ner_tags", "O"), " ").alias("tags"))
 
@@ -279,7 +319,7 @@ def ordered_payloads(spark, sf):
     return out.select("doc_id", F.array_min(F.transform("bboxes", lambda x: x[0])).alias("first_left"), F.size("tokens").cast("bigint").alias("n"), F.get("tokens", F.lit(0)).alias("first"))
 
 
-@query()
+@query("SELECT o_orderkey AS doc_id, strftime(o_orderdate, '%Y-%m-%d') AS date_of_birth, '' AS date_of_expiry FROM orders")
 def date_overrides(spark, sf):
     """Dates of birth that a page shows beside a label, over those on record; pages from conversations' analogue, orders."""
     o = read(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), F.date_format("o_orderdate", "d MMM yyyy").alias("d"))
@@ -303,18 +343,81 @@ def cosine_decisions(spark, sf):
     return rows.select("vec_id", "other", F.round("s", 6).alias("score"), vectors.decision(F.col("s")).alias("decision"))
 
 
-@query("SELECT vec_id, round(sqrt(list_dot_product(e, e)), 6) AS norm, CAST(list_position(l, list_max(l)) - 1 AS INT) AS class_id, CASE list_position(l, list_max(l)) WHEN 1 THEN 'passport' WHEN 2 THEN 'face' ELSE CAST(list_position(l, list_max(l)) - 1 AS VARCHAR) END AS label, round(1 / list_sum(list_transform(l, lambda x: exp(x - list_max(l)))), 6) AS confidence FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, CAST(embedding AS DOUBLE[])[1:10] AS l FROM embeddings)")
+@query("SELECT vec_id, round(sqrt(list_dot_product(e, e)), 6) AS norm, CAST(list_position(l, list_max(l)) - 1 AS INT) AS class_id, CASE list_position(l, list_max(l)) WHEN 1 THEN 'passport' WHEN 2 THEN 'face' ELSE CAST(list_position(l, list_max(l)) - 1 AS VARCHAR) END AS label, round(1 / list_sum(list_transform(l, lambda x: exp(x - list_max(l)))), 6) AS confidence FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, CAST(embedding AS DOUBLE[]) AS l FROM embeddings)")
 def softmax_labels(spark, sf):
     e = read(spark, sf, "embeddings")
-    c = vectors.classified(F.slice("embedding", 1, 10), ["passport", "face"])
+    c = vectors.classified(F.col("embedding"), ["passport", "face"])
     return e.select("vec_id", F.round(vectors.norm(F.col("embedding")), 6).alias("norm"), c["class_id"].alias("class_id"), c["label"].alias("label"), c["confidence"].alias("confidence"))
 
 
 @query()
 def decoded_faces(spark, sf):
-    """Cells of a grid detector from embeddings: their first values as class, object and box numbers."""
+    """Faces of two levels of a grid detector from embeddings: a level of two cells (32 numbers: 2 classes, 2 objects, 8 of
+    boxes, 20 of landmarks) with a stride of 8, and one of two with 16."""
     e = read(spark, sf, "embeddings")
-    boxes = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("embedding", i * 4 + 17, 4))
-    scaled = F.transform(F.slice("embedding", 1, 8), lambda x: F.abs(x) * 4)
-    d = vectors.decoded_faces(scaled, F.transform(F.slice("embedding", 9, 8), lambda x: F.abs(x) * 4), boxes, 8, 4, F.lit(1.0), F.lit(1.0), 0.7)
-    return e.select("vec_id", F.explode(d).alias("f")).select("vec_id", F.round("f.left", 4).alias("left"), F.round("f.top", 4).alias("top"), F.round("f.score", 6).alias("score"))
+
+    def level(at, stride):
+        part = lambda start, n: F.slice("embedding", at + start, n)
+        by = lambda start, n: F.array(part(start, n), part(start + n, n))
+        larger = lambda a: F.transform(a, lambda x: F.abs(x) * 5)
+        return vectors.decoded_faces(larger(part(1, 2)), larger(part(3, 2)), by(5, 4), by(13, 10), stride, 2, F.lit(1.5), F.lit(2.0), 0.7)
+
+    found = vectors.all_levels(level(0, 8), level(32, 16))
+    rows = e.select("vec_id", F.posexplode(found).alias("nth", "f"))
+    marks = F.transform("f.landmarks", lambda x: F.round(x, 4))
+    return rows.select("vec_id", "nth", *[F.round(f"f.{k}", 4).alias(k) for k in ("left", "top", "width", "height")], marks.alias("landmarks"), F.round("f.score", 6).alias("score"))
+
+
+@query(
+    f"WITH {RLINES}, k AS (SELECT *, score >= 8 AND t >= 360 AS strong, row_number() OVER (PARTITION BY doc_id ORDER BY bt DESC, score DESC, i) AS nth FROM sc WHERE score >= 5),"
+    " r AS (SELECT doc_id, CAST(greatest(0, coalesce(min(t) FILTER (WHERE strong), min(t) FILTER (WHERE nth <= 2)) - 9) AS INT) AS top FROM k GROUP BY 1)"
+    " SELECT doc_id, m.mode, CASE WHEN m.mode = 'mask' THEN top ELSE 0 END AS top, CASE WHEN m.mode = 'mask' THEN 800 ELSE top END AS bottom FROM r, (VALUES ('mask'), ('crop')) AS m(mode)"
+)
+def kept_parts(spark, sf):
+    """What masking whites out and what cropping keeps of every page with a coded region."""
+    found = regions.regions(region_lines(spark, sf))
+    both = [regions.kept_part(found, m).select("doc_id", F.lit(m).alias("mode"), "box.top", "box.bottom") for m in ("mask", "crop")]
+    return both[0].union(both[1])
+
+
+@query(
+    f"WITH {LS}, w AS (SELECT doc_id, i, unnest(CASE WHEN i % 2 = 0 THEN string_split(line, ' ') ELSE [line] END) AS t, generate_subscripts(CASE WHEN i % 2 = 0 THEN string_split(line, ' ') ELSE [line] END, 1) AS k FROM ls)"
+    " SELECT doc_id, t AS text, 'line_' || i AS line_id, printf('word_%04d', row_number() OVER (PARTITION BY doc_id ORDER BY i, k)) AS id FROM w"
+)
+def words_of_lines(spark, sf):
+    """Words from lines of which every second has a box per word, the others only one of their own."""
+    lines = page_lines(spark, sf)
+    even, words = F.col("order") % 2 == 0, F.split("text", " ")
+    four = F.array(F.lit(0), F.lit(0), F.lit(9), F.lit(9))
+    none = F.array().cast("array<array<int>>")
+    lines = lines.select("doc_id", "id", "text", "order", F.lit(0.9).alias("confidence"), F.lit(0.0).alias("rotation"), four.alias("box"), F.array().cast("array<array<array<int>>>").alias("polygons"), F.when(even, F.transform(words, lambda _: four)).otherwise(none).alias("boxes"), words.alias("texts"))
+    return reading.words_of_lines(lines).select("doc_id", "text", "line_id", "id")
+
+
+@query(
+    "SELECT doc_id, CAST([CASE doc_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 5 ELSE 600 - 40 END, CASE doc_id % 3 WHEN 0 THEN 5 WHEN 1 THEN 600 - 31 ELSE 800 - 25 END] AS INT[]) AS corner, doc_id % 4 <> 3 AS valid FROM documents"
+)
+def turned_label_payloads(spark, sf):
+    """Label payloads after their page was turned, and whether they may be saved."""
+    angle = F.when(F.col("doc_id") % 3 == 0, 0).when(F.col("doc_id") % 3 == 1, 90).otherwise(180)
+    left = F.when(F.col("doc_id") % 3 == 2, 10).otherwise(1)
+    right = F.when(F.col("doc_id") % 3 == 2, 40).otherwise(31)
+    tags = F.when(F.col("doc_id") % 4 == 3, F.array()).otherwise(F.array(F.lit("O"))).cast("array<string>")
+    rows = read(spark, sf, "documents").select("doc_id", F.array(F.lit("T")).alias("tokens"), F.array(F.array(left, F.lit(5), right, F.lit(25))).alias("bboxes"), tags.alias("ner_tags"), angle.alias("angle"), F.lit(600).alias("image_width"), F.lit(800).alias("image_height"))
+    out = labelling.turned_payloads(rows)
+    valid = labelling.valid_payload(F.col("tokens"), F.col("bboxes"), F.col("ner_tags"))
+    return out.select("doc_id", F.slice(F.get("bboxes", F.lit(0)), 1, 2).alias("corner"), valid.alias("valid"))
+
+
+@query("SELECT doc_id, max(turn) AS turn FROM (SELECT conv_id AS doc_id, turn FROM conversations) GROUP BY 1")
+def latest_labels(spark, sf):
+    rows = read(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), "turn", F.col("turn").alias("updated_at"))
+    return labelling.latest_labels(rows).select("doc_id", "turn")
+
+
+@query("SELECT doc_id, CASE WHEN length(trim(replace(text, chr(10), ' '))) = 0 THEN 'error' ELSE 'updated' END AS outcome FROM documents")
+def rebuilt_payloads(spark, sf):
+    """What comes of building every document's payload anew; one without words is an error."""
+    d = read(spark, sf, "documents").select("doc_id", F.lit("A").alias("surname"))
+    words = page_words(spark, sf)
+    return labelling.rebuilt(d, words, d.join(words.select("doc_id").distinct(), "doc_id", "left_semi")).select("doc_id", "outcome")

@@ -307,6 +307,27 @@ def name_union(spark, sf):
     return read(spark, sf, "documents").select("doc_id").union(read(spark, sf, "labels").select("doc_id")).distinct()
 
 
+@query("SELECT event_id AS id, event_type AS status, ts, user_id, value FROM events WHERE event_id > 57 ORDER BY event_id LIMIT 20")
+def page_after_key(spark, sf):
+    return records.page_after(event_records(spark, sf), 57, 20)
+
+
+@query(
+    "SELECT c_custkey AS id, 100 AS width, TRUE AS ok, [1, 2] AS list, 'x' AS more, json_object('gt_parse', json_object('personal_number', '', 'n', 7)) IS NOT NULL AS kept, c_name AS surname, '' AS personal_number FROM customer"
+)
+def rewritten_entries(spark, sf):
+    """Metadata entries keep numbers, booleans, lists and what stands beside the fields, under their new names."""
+    c = read(spark, sf, "customer")
+    inner = F.concat(F.lit('{"more": "x", "gt_parse": {"n": 7, "personal_number": "1", "surname": "'), F.col("c_name"), F.lit('"}}'))
+    entry = F.concat(F.lit('{"width": 100, "ok": true, "list": [1, 2], "file_name": "a.jpg", "ground_truth": '), F.to_json(F.struct(inner.alias("s"))).substr(F.lit(6), F.lit(1 << 30)))
+    out = c.select(F.col("c_custkey").alias("id"), jsonx.blanked(entry, F.lit("b.jpg")).alias("j"))
+    v, t = F.parse_json("j"), F.parse_json(F.get_json_object("j", "$.ground_truth"))
+    return out.select(
+        "id", F.variant_get(v, "$.width", "int").alias("width"), F.variant_get(v, "$.ok", "boolean").alias("ok"), F.variant_get(v, "$.list", "array<int>").alias("list"), F.variant_get(t, "$.more", "string").alias("more"),
+        (F.variant_get(t, "$.gt_parse.n", "int") == 7).alias("kept"), F.variant_get(t, "$.gt_parse.surname", "string").alias("surname"), F.variant_get(t, "$.gt_parse.personal_number", "string").alias("personal_number"),
+    )
+
+
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE json_valid(props)")
 def json_fields(spark, sf):
     e = read(spark, sf, "events").withColumn("v", jsonx.json_object(F.col("props")))

@@ -39,26 +39,31 @@ def token_lists(spark, sf):
     return read(spark, sf, "conversations").select("conv_id", "turn", text.tokens(F.col("text")).alias("tokens"))
 
 
+TOKENS_SQL = "[A-Z0-9<]+(?:[/-][A-Z0-9<]+)*"
+
+
 @query(
-    "SELECT p_partkey, upper(p_name) AS t, 10 AS l, 10 + CAST(greatest(1, round_even(200 * (length(p_name) / length(p_name)), 0)) AS INT) AS r FROM part WHERE regexp_full_match(upper(p_name), '[A-Z0-9<]+(?:[/-][A-Z0-9<]+)*')"
-    " UNION ALL SELECT p_partkey, w, 10 + CAST(round_even(200 * (s / total), 0) AS INT), greatest(11 + CAST(round_even(200 * (s / total), 0) AS INT), 10 + CAST(round_even(200 * ((s + length(w)) / total), 0) AS INT)) FROM"
-    " (SELECT p_partkey, unnest(ws) AS w, CAST(length(p_name) AS DOUBLE) AS total, unnest(list_transform(range(1, len(ws) + 1), lambda i: coalesce(list_sum(list_transform(ws[1:i-1], lambda y: length(y))), 0) + i - 1)) AS s"
-    "  FROM (SELECT p_partkey, p_name, string_split(upper(p_name), ' ') AS ws FROM part WHERE regexp_full_match(upper(p_name), '[A-Z0-9<]+( [A-Z0-9<]+)+')))"
+    f"WITH p AS (SELECT p_partkey, upper(p_name) AS n, CAST(greatest(1, length(p_name)) AS DOUBLE) AS total, regexp_extract_all(upper(p_name), '{TOKENS_SQL}') AS ts, string_split_regex(upper(p_name), '{TOKENS_SQL}') AS gaps FROM part),"
+    " t AS (SELECT p_partkey, total, unnest(ts) AS w, unnest(list_transform(range(1, len(ts) + 1), lambda i: coalesce(list_sum(list_transform(gaps[1:i], lambda y: length(y))), 0) + coalesce(list_sum(list_transform(ts[1:i-1], lambda y: length(y))), 0))) AS s FROM p)"
+    " SELECT p_partkey, w AS t, 10 + CAST(round_even(200 * (s / total), 0) AS INT) AS l, greatest(11 + CAST(round_even(200 * (s / total), 0) AS INT), 10 + CAST(round_even(200 * ((s + length(w)) / total), 0) AS INT)) AS r FROM t"
 )
 def boxed_tokens(spark, sf):
-    """Names of parts are words with one space between, so their places can be said in SQL too."""
     p = read(spark, sf, "part").select("p_partkey", "p_name", F.expr("named_struct('left', 10, 'top', 5, 'width', 200, 'height', 9)").alias("b"))
-    p = p.where(F.upper("p_name").rlike("^[A-Z0-9<]+( [A-Z0-9<]+)*$"))
     rows = p.select("p_partkey", F.explode(text.boxed_tokens(F.col("p_name"), F.col("b"))).alias("x"))
     return rows.select("p_partkey", F.col("x.text").alias("t"), F.col("x.bbox")[0].alias("l"), F.col("x.bbox")[2].alias("r"))
 
 
+#: The same in SQL: a word there is what stands between characters that are neither letters, digits nor _.
+ALONE = "list_filter(string_split_regex({t}, '[^\\p{{L}}\\p{{N}}\\p{{M}}_]'), lambda x: regexp_full_match(x, '{p}'))[1]"
+
+
 @query(
-    r"""SELECT doc_id, regexp_extract(upper(text), '\b[A-Z][0-9A-Z]{6,8}\b') AS passport_number, regexp_extract(upper(text), '\b(M|F|X)\b') AS sex, regexp_extract(upper(text), '\b([A-Z]{3})\b') AS issuing_country,
-    string_split(list_filter(string_split(upper(text), chr(10)), lambda x: trim(x) <> '')[1], ' ')[1] AS surname FROM documents WHERE lang = 'en'"""
+    "WITH d AS (SELECT doc_id, upper(replace(text, 'ß', 'ss')) AS t FROM documents) SELECT doc_id,"
+    + ", ".join(f"coalesce({ALONE.format(t='t', p=p)}, '') AS {n}" for n, p in (("passport_number", "[A-Z][0-9A-Z]{6,8}"), ("sex", "M|F|X"), ("issuing_country", "[A-Z]{3}")))
+    + ", coalesce(list_filter(string_split_regex(list_filter(string_split(t, chr(10)), lambda x: trim(x) <> '')[1], '\\s+'), lambda x: x <> '')[1], '') AS surname FROM d"
 )
 def guessed_fields(spark, sf):
-    d = read(spark, sf, "documents").where("lang = 'en'")
+    d = read(spark, sf, "documents")
     return d.select("doc_id", guessed(F.col("text")).alias("f")).select("doc_id", "f.passport_number", "f.sex", "f.issuing_country", "f.surname")
 
 
@@ -116,9 +121,9 @@ def output_dates(spark, sf):
     return written_dates(spark, sf).select("o_orderkey", dates.output_date(F.col("w")).alias("out"), dates.output_date(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("same"), dates.output_date(F.lit("  ")).alias("blank"))
 
 
-@query("SELECT o_orderkey, strftime(make_date(CASE WHEN y < 30 THEN 2000 ELSE 1900 END + y, month(o_orderdate), day(o_orderdate)), '%Y-%m-%d') AS iso FROM (SELECT *, CAST(o_orderkey % 100 AS INT) AS y FROM orders WHERE day(o_orderdate) < 29)")
+@query("SELECT o_orderkey, strftime(try_strptime(printf('%04d-%02d-%02d', CASE WHEN y < 30 THEN 2000 ELSE 1900 END + y, month(o_orderdate), day(o_orderdate)), '%Y-%m-%d'), '%Y-%m-%d') AS iso FROM (SELECT *, CAST(o_orderkey % 100 AS INT) AS y FROM orders)")
 def alpha_month(spark, sf):
-    o = read(spark, sf, "orders").where(F.dayofmonth("o_orderdate") < 29)
+    o = read(spark, sf, "orders")
     w = F.concat(F.lit("On "), F.date_format("o_orderdate", "d "), F.date_format("o_orderdate", "MMMM"), F.lit(" "), F.lpad((F.col("o_orderkey") % 100).cast("string"), 2, "0"), F.lit("!"))
     return o.select("o_orderkey", dates.month_named(w).alias("iso"))
 
@@ -209,14 +214,17 @@ def overlay_text(spark, sf):
 
 
 @query(
-    "SELECT page_id, CASE page_id % 4 WHEN 0 THEN '.png' WHEN 1 THEN '.webp' WHEN 2 THEN '.jpg' ELSE '.jpg' END AS extension, CASE page_id % 4 WHEN 3 THEN 'invalid base64' END AS error,"
-    " CASE WHEN page_id % 4 < 3 THEN octet_length(encode(url)) END AS bytes FROM pages"
+    "SELECT page_id, CASE page_id % 8 WHEN 0 THEN '.png' WHEN 1 THEN '.webp' WHEN 4 THEN '.tiff' ELSE '.jpg' END AS extension, CASE page_id % 8 WHEN 3 THEN 'invalid base64' WHEN 5 THEN 'bad data URI' WHEN 6 THEN 'invalid base64' END AS error,"
+    " CASE WHEN page_id % 8 NOT IN (3, 5, 6) THEN octet_length(encode(url)) END AS bytes FROM pages"
 )
 def payload_decode(spark, sf):
-    k = F.col("page_id") % 4
+    """Names with and without suffixes, headers in capitals and with parameters, unknown types, broken lines."""
+    k = F.col("page_id") % 8
     b64 = F.base64(F.encode("url", "UTF-8"))
-    payload = F.when(k == 0, b64).when(k == 1, F.concat(F.lit("data:image/webp;base64,"), b64)).when(k == 2, b64).otherwise("####")
-    p = read(spark, sf, "pages").select("page_id", payload.alias("payload"), F.when(k == 0, "dir/A.PNG").alias("file_name"))
+    b64 = F.regexp_replace(b64, r"\s", "")
+    uri = lambda head: F.concat(F.lit(f"data:{head},"), b64)
+    payload = F.when(k.isin(0, 2), b64).when(k == 1, uri("IMAGE/WebP;BASE64")).when(k == 3, "####").when(k == 4, uri(" image/tiff ;base64;x=1")).when(k == 5, uri("image/png")).when(k == 6, F.concat(F.substring(b64, 1, 4), F.lit("\n"), b64)).otherwise(uri("image/unknown;base64"))
+    p = read(spark, sf, "pages").select("page_id", payload.alias("payload"), F.when(k == 0, "dir/A.PNG").when(k.isin(1, 4, 7), "scan").alias("file_name"))
     out = payloads.decoded(p)
     return out.select("page_id", "extension", "error", F.when(F.col("error").isNull(), F.length("content").cast("bigint")).alias("bytes"))
 

@@ -5,17 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions import geometry
+from quillspark.functions.jsonx import double_encoded, json_object
 from quillspark.functions.text import stripped
-from quillspark.schema import RECORDS
+from quillspark.operators.labelling import valid_payload
+from quillspark.schema import RECORDS, STATUSES
 
 COLUMNS = [c.strip().split(" ")[0] for c in RECORDS.split(",")]
 
 
+PART_BITS, ROW_BITS = 14, 24  # of an id, below its write's number
+
+
 class RecordStore:
     """Records as an append-only Parquet log; a record is the latest non-null value of each column.
 
     Writers only add files, so a job that is run again or loses executors never leaves half a table; compact() writes the current
-    state into a new folder. A column is set to null by an empty string."""
+    state into a new folder. Every write claims a number of its own by creating a file of that name, so that two writers
+    never share one and no write reads the log. A column is set to null by an empty string."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -34,19 +41,29 @@ class RecordStore:
         latest = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("version"))).alias(c) for c in COLUMNS if c != "id"]
         return self.log().groupBy("id").agg(*latest)
 
-    def _append(self, df: DataFrame) -> DataFrame:
+    def _claim(self) -> int:
+        """The next write's number: the first whose file isn't there yet (readers of Parquet pass over _claims)."""
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_claims")
+        files = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(at)
+        number = 1 + max((int(x.getPath().getName()) for x in files.listStatus(at)), default=0)
+        while not files.createNewFile(at.suffix(f"/{number}")):
+            number += 1
+        return number
+
+    def _append(self, df: DataFrame, version: int) -> None:
         have = set(df.columns)
-        version = (self.log().agg(F.max("version")).first()[0] or 0) + 1
         types = {f.name: f.dataType for f in self.schema}
         rows = df.select(*[(F.col(c) if c in have else F.lit(None)).cast(types[c]).alias(c) for c in COLUMNS], F.lit(version).cast("bigint").alias("version"))
         rows.write.mode("append").parquet(self.path)
-        return rows
 
     def insert(self, df: DataFrame, status: str = "ocr_done") -> DataFrame:
         """Add records; returns them with ids, which rise but needn't be dense."""
-        last = self.log().agg(F.max("id")).first()[0] or 0
-        version = (self.log().agg(F.max("version")).first()[0] or 0) + 1
-        self._append(df.withColumn("id", F.lit(last + 1) + F.monotonically_increasing_id()).withColumn("status", F.lit(status)).withColumn("created_at", F.localtimestamp()))
+        version, row = self._claim(), F.monotonically_increasing_id()
+        part, nth = F.shiftright(row, 33), row.bitwiseAND(F.lit((1 << 33) - 1))
+        fits = (part < 1 << PART_BITS) & (nth < 1 << ROW_BITS)
+        key = F.when(fits, F.lit(version << (PART_BITS + ROW_BITS)) + F.shiftleft(part, ROW_BITS) + nth).otherwise(F.raise_error(F.lit("too many rows in a part for one insert")).cast("bigint"))
+        self._append(df.withColumn("id", key).withColumn("status", F.lit(status)).withColumn("created_at", F.localtimestamp()), version)
         return self.log().where(F.col("version") == version).drop("version")
 
     def insert_errors(self, df: DataFrame) -> DataFrame:
@@ -55,11 +72,35 @@ class RecordStore:
 
     def update(self, df: DataFrame) -> None:
         """Set the columns of df for its ids, and updated_at."""
-        self._append(df.withColumn("updated_at", F.localtimestamp()))
+        self._append(df.withColumn("updated_at", F.localtimestamp()), self._claim())
+
+    def save_review(self, df: DataFrame) -> None:
+        """Reviews (id, file_name, status, fields and, where the labels were reviewed too, payload with tokens, bboxes and
+        ner_tags): the fields as JSON within JSON, the status and the payload go into one write. An
+        unknown status, or arrays of unequal lengths, fail the write, and nothing of it stays."""
+        checked = F.when(F.col("status").isin(STATUSES), F.col("status")).otherwise(F.raise_error(F.concat(F.lit("not a status: "), F.coalesce("status", F.lit("null")))))
+        out = {"id": F.col("id"), "status": checked, "reviewed_json": double_encoded(F.col("file_name"), F.col("fields"))}
+        if "payload" in df.columns:
+            p = F.col("payload")
+            fits = valid_payload(p["tokens"], p["bboxes"], p["ner_tags"])
+            out["layoutlm_reviewed_json"] = F.when(p.isNull(), None).when(fits, F.to_json(p)).otherwise(F.raise_error(F.lit("a payload's arrays differ in length")))
+        self.update(df.select(*[c.alias(k) for k, c in out.items()]))
+
+    def turn(self, turned: DataFrame) -> None:
+        """Turn the boxes of both label payloads of records(id, angle, image_width, image_height) whose pages were turned."""
+        rows = self.current().select("id", "layoutlm_json", "layoutlm_reviewed_json").join(turned.where("angle % 360 != 0"), "id")
+        done = []
+        for name in ("layoutlm_json", "layoutlm_reviewed_json"):
+            boxes = F.from_json(F.get_json_object(name, "$.bboxes"), "array<array<int>>")
+            moved = F.to_json(F.transform(boxes, lambda b: geometry.turned(b, F.col("angle"), F.col("image_width"), F.col("image_height"))))
+            others = F.map_filter(F.try_variant_get(json_object(F.col(name)), "$", "map<string,variant>"), lambda k, _: k != "bboxes")
+            done.append(F.when(boxes.isNotNull(), F.to_json(F.map_concat(others, F.create_map(F.lit("bboxes"), F.parse_json(moved))))).alias(name))
+        self.update(rows.select("id", *done).where("layoutlm_json IS NOT NULL OR layoutlm_reviewed_json IS NOT NULL"))
 
     def compact(self, path: str) -> RecordStore:
-        self.current().withColumn("version", F.lit(1).cast("bigint")).write.parquet(path)
-        return RecordStore(self.spark, path)
+        store = RecordStore(self.spark, path)
+        self.current().withColumn("version", F.lit(store._claim()).cast("bigint")).write.mode("append").parquet(path)
+        return store
 
 
 def with_columns(df: DataFrame, columns: dict[str, str]) -> DataFrame:

@@ -41,10 +41,3 @@ def test_same_rows_as_sql(spark, duck, name):
     columns = [c[0] for c in found.description]
     assert sorted(df.columns) == sorted(columns)
     assert table(df.columns, [tuple(r) for r in df.collect()]) == table(columns, found.fetchall())
-
-
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
-def test_runs(spark, name):
-    df = QUERIES[name](spark, SF)
-    rows = df.take(1)
-    assert rows and len(rows[0]) == len(df.columns)
