@@ -42,8 +42,8 @@ from quillspark.llm.tokens import encoder, gathered
 
 HEAD, RATE = 1_000_000, 0.02
 PART_BYTES, PARTS_A_TASK = 4 << 20, 4  # of text; an id has about two and a half bytes
-COLUMNS = 256  # most frequent next ids by which kinds of tokens are told apart
-SLICE = 4 << 20  # bytes of text
+COLUMNS = 128  # most frequent next ids by which kinds of tokens are told apart
+SLICE = 6 << 20  # bytes of text
 STEP = 1 << 20  # ids at a time
 PSEUDO = 200.0
 SHARES = [0.1, 0.25, 0.4, 0.5, 0.65, 0.8, 0.9]
@@ -175,13 +175,13 @@ def summed(ids: DataFrame, cells: int, counted, path: str) -> tuple[np.ndarray,
     """Keys and counts over all texts, where counted(before, ids) gives keys below cells."""
 
     def run(batches):
-        table = np.zeros(cells, np.int32)
+        table = np.zeros(cells, np.int64)
         for _, own, _ in cut_batches(batches, 0, id_type(path)):
-            np.add.at(table, counted(before_of(own, path), own), 1)
+            table += np.bincount(counted(before_of(own, path), own), minlength=cells)
         some = np.flatnonzero(table)
         for at in range(0, len(some), STEP):
             keys = some[at : at + STEP]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(table[keys].astype(np.int64))], names=["key", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(table[keys])], names=["key", "n"])
 
     found = ids.select("ids").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).toArrow()  # cells at most
     return found["key"].to_numpy(), found["n"].to_numpy()
