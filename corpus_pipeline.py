@@ -9,30 +9,52 @@ rule and goes; given to the other stages it has no words (near-duplicates: finge
 stays), no windows, no secrets, and packs as its closing id. Repeated rows are judged alike by the quality rules,
 decontamination and the secret scan; of repeated rows near-duplicates keep one; packing places each."""
 
+from functools import wraps
+
 from quillspark.llm import decontam, packing, quality, secrets, simhash
-from quillspark.llm.common import materialize, table
+from quillspark.llm.common import TABLES, materialize, release_all_but, table
+
+_since = [0]  # the number of the first table of the pipeline's stages
+
+
+def stage(f):
+    """A stage's result must be written before the next one is called: that deletes the tables which the
+    stages before it made along the way, but for those that docs still reads."""
+
+    @wraps(f)
+    def run(spark, docs, sf_dir):
+        _since[0] = min(_since[0], len(TABLES))
+        release_all_but(spark, docs, _since[0])
+        return f(spark, docs, sf_dir)
+
+    return run
 
 
+@stage
 def quality_rules(spark, docs, sf_dir):
     """Documents that the base rule or a learned rule rejects go."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
+@stage
 def near_duplicates(spark, docs, sf_dir):
     """Of each class of near-duplicates the document with the smallest doc_id stays."""
     return simhash.one_of_each(docs)
 
 
+@stage
 def decontamination(spark, docs, sf_dir):
     """Documents with a whole window of eight words of a benchmark item, or with windows of two items, go."""
     return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+@stage
 def secret_scan(spark, docs, sf_dir):
     """Secrets are replaced by a mark; all documents stay."""
     return secrets.redact(docs)
 
 
+@stage
 def best_fit_packing(spark, docs, sf_dir):
     """What is left is packed into sequences of 2048 tokens."""
     return packing.pack(docs)
@@ -51,6 +73,7 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
+    _since[0] = len(TABLES)  # what was made before isn't the pipeline's
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

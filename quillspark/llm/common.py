@@ -44,7 +44,8 @@ def materialize(df: DataFrame, label: str, drop_shuffles: bool = False) -> DataF
     of finished steps; else they wait for the next collection, however much disk they take."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    TABLES.append(path)
     files, at = file_system(spark, path)
     files.deleteOnExit(at)
     if drop_shuffles:
@@ -60,10 +61,27 @@ def file_system(spark: SparkSession, path: str):
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
+#: Paths of the tables that materialize() has made and that are still there.
+TABLES: list[str] = []
+
+
 def release(df: DataFrame) -> None:
     """Delete the table that materialize() made for df. Only for one whose every reader is itself a written table."""
-    files, at = file_system(df.sparkSession, df._quill_path)
+    delete(df.sparkSession, df._quill_path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    files, at = file_system(spark, path)
     files.delete(at, True)
+    TABLES.remove(path)
+
+
+def release_all_but(spark: SparkSession, df: DataFrame, since: int = 0) -> None:
+    """Delete the tables made so far (from the number since on) that df doesn't read. For when the results that read the others are written."""
+    if len(TABLES) > since:
+        read = df.inputFiles()
+        for path in [t for t in TABLES[since:] if not any(t.rsplit("/", 1)[-1] in f for f in read)]:
+            delete(spark, path)
 
 
 def carried(df: DataFrame, *names: str) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from quillspark.llm.batches import append
-from quillspark.llm.common import HOT_SHARE, carried, looked_up, materialize
+from quillspark.llm.common import HOT_SHARE, carried, looked_up, materialize, release
 
 SHINGLE, SEED, DISTANCE, GROUPS, CELL = 4, 42, 4, 8, 2048
 BITS_AT_ONCE = 1 << 16
@@ -178,7 +178,8 @@ def classes(edges: DataFrame) -> DataFrame:
         large = met(both, least.select("u", "m"), known).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = met(large, least, least.where(is_hot)).select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m"))
-        edges = materialize(small.where("u != v").distinct(), "edges")
+        before, edges = edges, materialize(small.where("u != v").distinct(), "edges")
+        release(before)
 
 
 def near_classes(prints: DataFrame) -> DataFrame:
