@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import pytest
 
-from quillspark.llm import packing, queries
+from quillspark.llm import packing, queries, secrets
 from tests.llm import brute
 
 SF = "/root/testdata/sf0.001"
@@ -21,6 +21,21 @@ def run(spark, name):
     return getattr(queries, name)(spark, SF).collect()
 
 
+def test_articles(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
+    got = {r.page_id: (r.url, r.text, r.n_chars) for r in run(spark, "op1_html_wrappers")}
+    assert got == {r.page_id: (r.url, t, len(t)) for r in pages for t in [brute.article(r.html)]}
+
+
+def test_quality_verdicts(spark):
+    """Most labelled bad texts go; labelled good ones go by the base rule alone."""
+    labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    rows = [r for r in queries.op2_quality_rules(spark, "/root/testdata/sf0.01").collect() if r.doc_id in labels]
+    bad, good = [[r for r in rows if labels[r.doc_id] == q] for q in (0, 1)]
+    assert sum(not r.kept for r in bad) >= 0.95 * len(bad)
+    assert sum(not r.kept and not r.base_failed for r in good) <= 0.01 * len(good)
+
+
 def test_quality_counts(spark, docs):
     got = {r.doc_id: r for r in run(spark, "op2_quality_rules")}
     assert len(got) == len(docs)
@@ -103,3 +118,5 @@ def test_secrets(spark, docs):
         assert [r.n_assign, r.n_access, r.n_hex] == [sum(s.startswith(k) for s in base) for k in ("assign", "access", "hex")]
         assert r.base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest()
         assert set(base) <= set(r.spans.split(",")) | {""}
+    added = {d: [x for x in r.spans.split(",") if x.startswith("random")] for d, r in got.items()}
+    assert {d: x for d, x in added.items() if x} == brute.discoveries(docs, secrets)

@@ -12,7 +12,13 @@ import corpus_pipeline
 from quillspark.llm import attention, decontam, html_wrappers, lm, packing, quality, secrets, sharding, simhash, substring_dedup, url_filter
 from tests.llm import brute
 
-SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, _counts string, fp bigint, n_words string, rank_in_group int"
+#: All names that operators give to columns of their own, and some that they return.
+OWN = (
+    "_counts _body _words _base _items _overlap _quillfp _quillrow _row row at fp root n body words lines ids windows placed again some solid spans items whole base tokens tested scan clean cell counts "
+    "component_id copies bucket _bucket _n _before mix stratum position ord ids key held_out part p w x rank_in_group n_words n_hit random_m assign_v"
+).split()
+OWN = list(dict.fromkeys(OWN))
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"`{c}` string" for c in OWN)
 LONG = " ".join(f"w{i * i % 9973}" for i in range(60_000))
 PASSAGE = "the quick brown fox jumps over the lazy dog while seven wizards quietly box up five dozen liquor jugs again and again"
 ROWS = [
@@ -36,7 +42,7 @@ ROWS = [
 
 @pytest.fixture(scope="module")
 def odd(spark):
-    rows = [(d, t, None, None if d == 4 else f"s{(d or 0) % 2}", None if t is None else len(t), "x", 1, "y", 2) for d, t in ROWS]
+    rows = [(d, t, None, None if d == 4 else f"s{(d or 0) % 2}", None if t is None else len(t), *"x" * len(OWN)) for d, t in ROWS]
     return spark.createDataFrame(rows, SCHEMA)
 
 
@@ -51,11 +57,24 @@ def test_quality(spark, odd, none):
     want = sorted((d or -1, *brute.quality_counts(t)) for d, t in ROWS)
     assert sorted((r.doc_id or -1, *(r[c] for c in quality.COUNTS)) for r in got) == want
     kept = quality.keep_good(odd, labels)
-    assert kept.columns == odd.columns and kept.count() == sum(r.kept for r in got)
+    assert kept.columns == odd.columns and sorted((r.doc_id or -1, r.text) for r in kept.collect()) == sorted((d or -1, t) for (d, t) in ROWS if (d or -1, *brute.quality_counts(t)) in {(r.doc_id or -1, *(r[c] for c in quality.COUNTS)) for r in got if r.kept})
     assert quality.judge(none, labels).count() == 0 and quality.keep_good(none, labels).count() == 0
     assert quality.judge(odd, labels.where("false")).where("rule != 'keep'").count() == 0
 
 
+def test_rules_dont_depend_on_the_layout(spark):
+    rows = [(i, " ".join(f"{'w' * (3 + i % 5)}{(i * 7 + k) % (11 + i)}{'#' * (i % 4)}" for k in range(40)), i % 4 != 3) for i in range(200)]
+    docs = spark.createDataFrame([(d, t) for d, t, _ in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(d, int(q)) for d, _, q in rows], "doc_id bigint, quality int")
+    found = [{r.doc_id: r.rule for r in quality.judge(d, labels).collect()} for d in (docs.coalesce(1), docs.repartition(7))]
+    assert found[0] == found[1] and len(set(found[0].values())) > 1
+
+
+def test_of_equal_thresholds_the_first_is_taken():
+    assert quality.halfway([(0, 50), (10, 50)], 10) == [0.5]
+    assert quality.halfway([(3, 7)], 10) == []
+
+
 def test_learned_rules_reject_and_keep(spark):
     good = [(i, " ".join(f"word{(i * 7 + k) % 501}" for k in range(40)), 1) for i in range(60)]
     bad = [(100 + i, " ".join(f"wor{(i * 7 + k) % 501}###" for k in range(40)), 0) for i in range(60)]
@@ -73,6 +92,12 @@ def test_shards(odd, none):
     assert sharding.interleave_shards(none, 4).count() == 0
 
 
+def test_rows_without_a_doc_id_are_shuffled(spark):
+    docs = spark.createDataFrame([(None, f"text {i}", "s") for i in range(64)], "doc_id bigint, text string, source string")
+    got = sharding.interleave_shards(docs, 4).collect()
+    assert sorted((r.shard, r.slot) for r in got) == [(s, k) for s in range(4) for k in range(16)]
+
+
 def test_packing(odd, none):
     got = packing.pack(odd).collect()
     assert len({r.doc_id for r in got}) == len({d for d, _ in ROWS})
@@ -148,19 +173,35 @@ ITEMS = [(1, PASSAGE), (1, PASSAGE), (2, "lazy dog while seven wizards quietly b
 @pytest.mark.parametrize("block", [1 << 20, 40])
 def test_overlap(spark, odd, none, block):
     items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
-    got = decontam.overlaps(odd, items, block_bytes=block).select("doc_id", "text", "_overlap.*").collect()
+    got = decontam.overlaps(odd, items, block_bytes=block).select("row.text", "n_words", "n_hit", "items", "whole").collect()
     own = [(i, t) for i, t in ITEMS if i is not None]
     for r in got:
         want = brute.overlap(r.text, own)
         assert (r.n_words, r.n_hit, len(r["items"])) == want[:3]
         assert hashlib.sha256(",".join(r["items"]).encode()).hexdigest() == want[3]
+        assert r.whole == brute.holds_a_window(r.text, own)
     assert len(got) == len(ROWS)
     left = decontam.drop_contaminated(odd, items)
-    assert left.columns == odd.columns and left.count() == sum(not brute.overlap(t, own)[4] for _, t in ROWS)
-    assert decontam.report(none, items).count() == 0
+    want = sorted((d or -1, t or "") for d, t in ROWS if not brute.overlap(t, own)[4] and not brute.holds_a_window(t, own))
+    assert left.columns == odd.columns and sorted((r.doc_id or -1, r.text or "") for r in left.collect()) == want
+    assert decontam.report(none, items).count() == 0 and decontam.drop_contaminated(none, items).count() == 0
     assert decontam.report(odd, items.where("false")).where("n_items > 0").count() == 0
 
 
+def test_one_window_of_one_item_takes_a_document_out(spark):
+    item = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(1, "so " + item[: item.index(" nine")] + " it goes"), (2, "so " + item[: item.index(" eight")] + " it goes"), (3, "short item here")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, item), (2, "short item")], "item_id bigint, text string")
+    assert [r.doc_id for r in decontam.drop_contaminated(docs, items).orderBy("doc_id").collect()] == [2, 3]
+
+
+def test_searchers_of_one_worker_are_told_apart(spark):
+    docs = spark.createDataFrame([(1, "alpha beta"), (2, "gamma delta")], "doc_id bigint, text string").coalesce(1)
+    for k in range(6):
+        items = spark.createDataFrame([(1, ("alpha beta", "gamma delta")[k % 2])], "item_id bigint, text string")
+        assert [r.doc_id for r in decontam.report(docs, items).where("n_items > 0").collect()] == [1 + k % 2]
+
+
 def test_secrets(odd, none):
     for r in secrets.find_secrets(odd.where("doc_id IS NOT NULL")).collect():
         texts = [t for d, t in ROWS if d == r.doc_id]
@@ -178,16 +219,31 @@ def test_random_tokens_are_found_among_ordinary_ones(spark):
     import string
 
     random.seed(11)
-    rows, planted = [], set()
-    for i in range(300):
-        words = [f"ordinary-word{i % 7}-of-some-length" if k % 9 == 0 else "filler" for k in range(30)]
+    rows, planted = [], {}
+    kinds = [string.ascii_letters + string.digits, string.ascii_letters, string.ascii_lowercase, string.ascii_uppercase + "234567"]
+    for i in range(400):
+        words = [f"ordinary-word{i % 7}-of-some-length" if k % 9 == 0 else random.choice(["filler", "words", "and", "others", "internationalisation", "notwithstanding"]) for k in range(30)]
         if i % 10 == 0:
-            words[13] = "".join(random.choice(string.ascii_letters + string.digits) for _ in range(32))
-            planted.add(i)
+            words[13] = "".join(random.choice(kinds[i // 10 % 4]) for _ in range(32))
+            planted[i] = words[13]
         rows.append((i, " ".join(words)))
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    got = {r.doc_id for r in secrets.find_secrets(docs).where("spans != ''").collect()}
-    assert len(got & planted) >= 0.9 * len(planted) and len(got - planted) <= 0.02 * len(got)
+    want = brute.discoveries(rows, secrets)
+    got = {r.doc_id: [x for x in r.spans.split(",") if x.startswith("random")] for r in secrets.find_secrets(docs).where("spans != ''").collect()}
+    assert {d: x for d, x in got.items() if x} == want
+    found = {d for d, t in planted.items() if f"random:{dict(rows)[d].index(t)}:{dict(rows)[d].index(t) + 32}" in got.get(d, [])}
+    assert len(found) >= 0.9 * len(planted) and len(set(got) - set(planted)) <= 0.02 * len(got)
+
+
+def test_battery_keeps_uniform_tokens(spark):
+    import random
+
+    random.seed(4)
+    rows = [(i, "".join(random.choice(a) for _ in range(n))) for i, (a, n) in enumerate((e[2], n) for e in secrets.ENCODINGS[5:] for n in (20, 40, 100) for _ in range(40))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    tokens = secrets.scan(docs, ["doc_id"], secrets.surprises(docs)).selectExpr("explode(tokens) AS x").select("x.*").collect()
+    assert len(tokens) >= 0.95 * len(rows)
+    assert sum(t.p < secrets.ALPHA for t in tokens) <= 0.02 * len(tokens)
 
 
 def test_many_matches_in_one_text(spark):
@@ -260,12 +316,15 @@ def test_urls(spark):
     rows = [(1, "HTTP://WWW.Example.NET:80/en/x"), (2, "http://www.example.net/en/x?y"), (3, None), (4, "example.net/en/"), (5, "x://EXAMPLE.net/EN/"), (6, "http://example.com/de/"), (6, "http://example.com/de/"), (7, "a://b://c.org/fr/#z"), (8, "http://net/"), (9, "http://notexample.com/de/x")]
     rules = spark.createDataFrame([("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"), (None, "/", "block")], "host string, path string, verdict string")
     pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id bigint, url string, rule int")
-    got = sorted(map(tuple, url_filter.judge_urls(pages, rules).collect()))
+    got = sorted(map(tuple, url_filter.judge_urls(pages, rules).collect()), key=str)
     assert got == sorted([
         (1, "www.example.net:80", "/en/x", None, "allow"), (2, "www.example.net", "/en/x", "example.net/en/", "allow"), (3, "", "", None, "allow"), (4, "", "", None, "allow"),
         (5, "example.net", "/EN/", "net/", "block"), (6, "example.com", "/de/", "example.com/de/", "block"), (6, "example.com", "/de/", "example.com/de/", "block"),
         (7, "b:", "//c.org/fr/", None, "allow"), (8, "net", "/", "net/", "block"), (9, "notexample.com", "/de/x", None, "allow"),
-    ], key=str) or sorted(got, key=str) == got
+    ], key=str)
+    many = spark.createDataFrame([("org", "/" + "p" * k, "block") for k in range(5000)] + [("org", "/pp", "allow")], "host string, path string, verdict string")
+    long = spark.createDataFrame([(1, "http://a.org/" + "p" * 4998), (2, "http://org/pp"), (3, "http://x.org/" + "q" * 200_000)], "page_id bigint, url string")
+    assert sorted((r.page_id, len(r.rule or ""), r.verdict) for r in url_filter.judge_urls(long, many).collect()) == [(1, 5002, "block"), (2, 6, "block"), (3, 4, "block")]
     assert url_filter.judge_urls(pages, rules.where("false")).where("verdict != 'allow' OR rule IS NOT NULL").count() == 0
     assert url_filter.judge_urls(pages.where("false"), rules).count() == 0
 
@@ -292,11 +351,69 @@ def test_attention_scores_of_rare_words(spark, odd, monkeypatch):
     assert sorted((r.doc_id or -1, round(r.base_score, 6), round(r.score, 4), r.n_known) for r in lm.score(odd).collect()) == want
 
 
-def test_marked_inline_elements_end_and_whole_elements_stay():
+def test_inline_elements_and_whole_elements_stay():
     text = lambda x: html_wrappers.extracted(html_wrappers.Page(x), None)
-    assert text('<article><p>A <a class="share">x</a> B</p><p>C</p></article>') == "A B C"
-    assert text('<article><p>A <span class="share">x <span>y</span> z</span> B</p><p>C</p></article>') == "A B C"
+    assert text('<article><p>A <a class="share">x</a> B</p><p>C</p></article>') == "A x B C"
+    assert text('<article><p>A <span class="share">x <span>y</span> z</span> B</p><p>C</p></article>') == "A x y z B C"
+    assert text("<article>One <span aria-hidden=true>*</span> two. <span hidden>no</span></article>") == "One * two."
     assert text('<body class="has-sidebar"><article class="post no-comments"><p>A</p></article></body>') == "A"
+    assert text('<article><p>A</p><div class="related"><a href=x>r1</a> <a href=y>r2</a></div><div class="alert">mind this</div><div class="ad">buy</div></article>') == "A mind this"
+
+
+@pytest.mark.parametrize("n", [2, 4, 6, 19, 20, 21])
+def test_articles_dont_depend_on_how_many_pages_a_host_has(spark, n):
+    pages = [(i, "http://a.example/x", f"<nav>Menu</nav><article><h1>T{i}</h1><h2>Update</h2><p>Text {i} of it.</p></article>") for i in range(n)]
+    got = {r.page_id: r.text for r in html_wrappers.extract(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
+    assert got == {i: f"T{i} Update Text {i} of it." for i in range(n)}
+
+
+def test_only_the_wrapper_tells_a_host_without_articles_apart(spark):
+    form = "<div><div>Home News Sport</div><div><div><h2>Title {0}</h2></div><div>First {0} line.</div><div>Second {0}</div></div><div>All rights reserved by us and by our partners in many places</div></div>"
+    pages = [(i, "http://a.example/x", form.format(i)) for i in range(5)] + [(9, "http://b.example/", form.format(9))]
+    pages += pages[:2]  # repeated rows change nothing
+    got = {r.page_id: r.text for r in html_wrappers.extract(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
+    assert {k: v for k, v in got.items() if k < 5} == {i: f"Title {i} First {i} line. Second {i}" for i in range(5)}
+    assert "Home News Sport" in got[9]  # a host's only page shows no differences
+
+
+def test_folding_takes_balanced_groups_of_any_length():
+    group = ["<div", "<h2", "#", "</h2", *["<p", "#", "</p", "<ul", "#", "</ul"] * 2, "<b2", "#", "</b2", "<c2", "#", "</c2", "</div"]
+    symbols, again, slots = html_wrappers.folded(group * 3)
+    assert symbols[0] == "<div" and symbols.count("<div") == 1 and all(again) and slots[2] == [0, 7, 14]
+    assert html_wrappers.folded(["<div", "<div", "#", "</div", "</div"])[0] == ["<div", "<div", "#", "</div", "</div"]
+
+
+def test_a_very_long_page(spark):
+    body = "".join(f"<p>Paragraph {i} of a long page.</p><h2>Part {i}</h2>" for i in range(20_000))
+    pages = spark.createDataFrame([(1, "http://a.example/" + "x" * 100_000, f"<article>{body}</article>")], "page_id bigint, url string, html string")
+    r = html_wrappers.extract(pages).first()
+    assert r.text.startswith("Paragraph 0 of a long page. Part 0 Paragraph 1") and r.text.endswith("Part 19999")
+
+
+def test_attention_scores_dont_depend_on_the_layout(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * 31 + k * k) % 97}" for k in range(60))) for i in range(300)], "doc_id bigint, text string")
+    a, b = ({r.doc_id: r.score for r in lm.score(d).collect()} for d in (docs.coalesce(1), docs.repartition(7)))
+    assert a.keys() == b.keys() and all(math.isclose(a[k], b[k], rel_tol=1e-9) for k in a)
+
+
+def test_held_out_texts_are_likelier_than_by_counts(spark):
+    """Words that training lacks, made of syllables that it has: the attention model knows how they go on."""
+    import random
+
+    random.seed(3)
+    part = ["ka", "to", "mi", "ren", "sol", "du"]
+    docs = spark.createDataFrame([(i, " ".join("".join(random.choice(part) for _ in range(random.randint(2, 4))) for _ in range(80))) for i in range(400)], "doc_id bigint, text string")
+    held = [r for r in lm.score(docs).collect() if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def test_words_keys_are_those_of_words():
+    path = lm.default_tokenizer()
+    ids, lengths = lm.ids_of([b"Abc def abc \xc2\x85x", b"", b"def  abc\xc2\xa0"], path)
+    keys = lm.word_keys(ids, lm.word_starts(ids, path))
+    assert len(keys) == 4 + 1 + 1 + 2 + 1 and lengths.sum() == len(ids)
+    abc, deff, again, odd, end, empty, d2, nbsp, last = keys.tolist()
+    assert abc == again and deff == d2 and end == empty == last and len({abc, deff, odd, end, nbsp}) == 5
 
 
 def test_attention_learns_from_all_training_texts(spark, monkeypatch):
@@ -331,7 +448,7 @@ def test_training_lowers_the_loss():
     p, rng = attention.initial(), np.random.default_rng(0)
     experts = rng.random((20, attention.EXPERTS)).astype(np.float32)
     experts /= experts.sum(0)
-    ids = np.tile(np.arange(20), 200).astype(np.int32)
+    ids = np.tile(np.arange(20), 10_000).astype(np.int32)
     rows, kinds, one = np.arange(20, dtype=np.int32), np.zeros(20, np.int32), np.array([len(ids)])
     x = (rows[np.roll(ids, 1)], kinds[np.roll(ids, 1)])
     loss = lambda q: -attention.log10_probabilities(q, x, ids, experts, one).mean()
@@ -358,5 +475,6 @@ def test_pipeline_keeps_what_the_stages_say(spark):
     found = brute.components([(d, brute.fingerprint(docs[d])) for d in good])
     first = {d for (d, _), c in found.items() if c == d}
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
-    want = {d for d in first if not brute.overlap(docs[d], items)[4]}
+    want = {d for d in first if not brute.overlap(docs[d], items)[4] and not brute.holds_a_window(docs[d], items)}
+    assert len(want) < len(first)  # the tables hold documents with a window of one item alone
     assert {r.doc_id for r in corpus_pipeline.run(spark, sf).select("doc_id").distinct().collect()} == want
