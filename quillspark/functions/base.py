@@ -14,3 +14,9 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     Expressions that use their argument several times would double with every level that nests them, also when
     the optimizer moves filters below projections; a bound variable keeps them as large as they read."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def constant_map(pairs: dict) -> Column:
+    """A map of constants as one parsed expression: a call per entry to make it costs seconds where it is used often."""
+    text = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(x, str) else f"{x!r}D" if isinstance(x, float) else repr(x)
+    return F.expr("map(" + ", ".join(text(x) for pair in pairs.items() for x in pair) + ")")

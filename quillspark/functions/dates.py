@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillspark.functions.base import let
+from quillspark.functions.base import constant_map, let
 from quillspark.functions.text import canonical, stripped
 
 NUMERIC, ALPHA = 69, 30  # two-digit years below these are 20xx, in numeric dates and in those with month names
@@ -56,7 +56,7 @@ ALPHA_DATE = r"\b(\d{1,2}) ([A-Z]{3,9}) (\d{2,4})\b"
 
 def month_named(c: Column) -> Column:
     """ISO of the first 'day MONTH year' in the canonical text; else null."""
-    months = F.create_map(*[x for name, n in MONTHS.items() for x in (F.lit(name), F.lit(n))])
+    months = constant_map(MONTHS)
 
     def read(v):
         month = F.try_element_at(months, F.regexp_extract(v, ALPHA_DATE, 2))
@@ -129,7 +129,7 @@ def _signature(c: Column) -> Column:
 
 def looks_like_date(c: Column) -> Column:
     def read(v):
-        named = lambda n: F.arrays_overlap(F.split(n, " "), F.array(*map(F.lit, MONTHS)))
+        named = lambda n: F.arrays_overlap(F.split(n, " "), F.map_keys(constant_map(MONTHS)))
         by_name = let(canonical(v), lambda n: F.when(named(n), n.rlike(r"\b\d{2,4}\b")))
         return signature(v).isNotNull() | F.coalesce(by_name, F.size(digit_groups(v)) >= 2)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
-from quillspark.functions.base import let
+from quillspark.functions.base import constant_map, let
 
 BLANK = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
@@ -47,7 +47,7 @@ def _folding() -> tuple[str, str, dict[str, str]]:
 def ascii_folded(c: Column) -> Column:
     """NFKD with everything but ASCII dropped."""
     source, target, several = _folding()
-    table = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
+    table = constant_map(several)
     spelled = lambda v: F.array_join(F.transform(F.split(v, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
     spread = let(c, lambda v: F.when(v.rlike(f"[{''.join(several)}]"), spelled(v)).otherwise(v))
     return F.regexp_replace(F.translate(spread, source, target), r"[^\x00-\x7F]", "")

@@ -63,8 +63,7 @@ def token_f1_best_match(spark, sf):
     start = F.array_join(F.slice(F.split(F.substring_index("text", "\n", 1), " "), 1, 3), " ")
     e = read(spark, sf, "documents").select("doc_id", text.canonical(start).alias("e")).where("e != ''")
     rows = c.join(e, "doc_id").withColumn("f1", text.token_f1(F.col("e"), F.col("normalized_text"))).where("f1 > 0")
-    first = F.element_at("words", 1)
-    at = F.struct(F.col("line_order").cast("bigint").alias("i"), first["order"].cast("bigint").alias("a"))
+    at = F.struct(F.col("line_order").cast("bigint").alias("i"), F.col("first_order").cast("bigint").alias("a"))
     best = rows.groupBy("doc_id").agg(F.max_by(F.struct("f1", at.alias("at")), F.struct("f1", (-F.col("line_order")).alias("i"), (-F.col("nth")).alias("n"))).alias("m"))
     return best.select("doc_id", F.round("m.f1", 9).alias("f1"), F.col("m.at.i").alias("i"), F.col("m.at.a").alias("j"))
 
