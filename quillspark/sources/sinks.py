@@ -132,11 +132,13 @@ def renumbered(files: DataFrame, start: int = 1, taken: DataFrame | None = None)
     order = Window.partitionBy("folder").orderBy("path")
     rows = files.withColumn("number", F.row_number().over(order) + start - 1)
     if taken is not None:
-        rows = files.groupBy("folder", "suffix").agg(F.sort_array(F.collect_list("path")).alias("paths"))
-        used = taken.groupBy("folder", "suffix").agg(F.collect_set("number").alias("used"))
-        free = F.expr(f"filter(sequence({start}, {start} + size(paths) + size(used) - 1), n -> NOT array_contains(used, n))")
-        rows = rows.join(used, ["folder", "suffix"], "left").withColumn("used", F.coalesce("used", F.array().cast("array<int>"))).withColumn("free", free)
-        rows = rows.select("folder", "suffix", F.explode(F.expr("transform(paths, (p, i) -> struct(p AS path, get(free, i) AS number))")).alias("z")).select("folder", "z.path", "suffix", "z.number")
+        by = Window.partitionBy("folder", "suffix")
+        own = files.select("folder", "suffix", "path", (F.row_number().over(by.orderBy("path")) - 1).alias("at"))
+        # Before the k-th name in use (from 0) number - start - k names are free; that many files come before it.
+        used = taken.where(F.col("number") >= start).select("folder", "suffix", "number").distinct()
+        used = used.select("folder", "suffix", F.lit(None).cast("string").alias("path"), (F.col("number") - start - F.row_number().over(by.orderBy("number")) + 1).alias("at"))
+        passed = F.sum(F.col("path").isNull().cast("int")).over(by.orderBy("at", F.col("path").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+        rows = own.union(used).withColumn("number", F.col("at") + start + passed).where("path IS NOT NULL").drop("at")
     return rows.withColumn("new_name", F.concat(F.col("number").cast("string"), F.col("suffix")))
 
 

@@ -105,7 +105,9 @@ def scored(kind, value, text, normalized):
     if kind == "date":
         forms = {"2020-02-01", "20200201", "01/02/2020", "01-02-2020", "01022020", "200201", "2020-02", "202002", "02-2020", "02/2020"}
         found = {"".join(re.findall(r"\d+", x)) for x in (text, normalized, c)}
-        return (1.0, "date") if any(len(x) == 8 and x in forms for x in found) else (0.0, "none")
+        whole = [re.fullmatch(r"(\d{1,2})([/-])(\d{1,2})\2(\d{4})", y) for x in (text, normalized, c) for y in (x, x.replace(" ", ""))]
+        same = any(m and (int(m[1]), int(m[3]), int(m[4])) == (1, 2, 2020) for m in whole)
+        return (1.0, "date") if same or any(len(x) == 8 and x in forms for x in found) else (0.0, "none")
     if kind == "identifier":
         if not e or not c:
             return 0.0, "none"
