@@ -6,8 +6,9 @@ an exactly filling pair, a piece that nothing fits beside, a pair where no third
 rest goes by best fit, longest first, whole runs of equal pieces at a time. Pieces then take their
 places by their rank within their length.
 
-Defined cases: a null or empty text is its closing id alone; repeated rows and repeated doc_ids are
-packed as rows of their own; an empty table gives an empty result; other columns are not read.
+Defined cases: a null or empty text is its closing id alone; a very long text is encoded whole (a slice of its own) and cut;
+pieces that tie in length are dealt out in order of a hash, rows equal in all they hold are interchangeable; repeated rows
+and repeated doc_ids are packed as rows of their own; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations

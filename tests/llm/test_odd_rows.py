@@ -109,6 +109,18 @@ def test_packing(odd, none):
     assert packing.pack(none).count() == 0
 
 
+def test_packing_of_ties_and_long_texts(spark):
+    docs = spark.createDataFrame([(i % 3, "the same words again and again") for i in range(200)] + [(9, LONG), (9, LONG)], "doc_id bigint, text string")
+    got = packing.pack(docs).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for s in by.values():
+        s.sort()
+        assert [o for o, _ in s] == [sum(n for _, n in s[:k]) for k in range(len(s))] and sum(n for _, n in s) <= 2048
+    assert sum(r.doc_id < 3 for r in got) == 200 and sum(r.length == 2048 for r in got if r.doc_id == 9) >= 2 * (len(LONG) // 4 // 2048)
+
+
 def test_packing_plans_hold_everything():
     import random
 
