@@ -12,20 +12,22 @@ decontamination and the secret scan; of repeated rows near-duplicates keep one;
 from functools import wraps
 
 from quillspark.llm import decontam, packing, quality, secrets, simhash
-from quillspark.llm.common import TABLES, materialize, release_all_but, table
+from quillspark.llm.common import TABLES, materialize, release, release_unread, table
 
-_since = [0]  # the number of the first table of the pipeline's stages
+_made: list[str] = []  # paths of the tables that the last stage made along the way
 
 
 def stage(f):
     """A stage's result must be written before the next one is called: that deletes the tables which the
-    stages before it made along the way, but for those that docs still reads."""
+    stage before it made along the way, but for those that docs still reads."""
 
     @wraps(f)
     def run(spark, docs, sf_dir):
-        _since[0] = min(_since[0], len(TABLES))
-        release_all_but(spark, docs, _since[0])
-        return f(spark, docs, sf_dir)
+        kept = release_unread(docs, _made)
+        known = set(TABLES)
+        out = f(spark, docs, sf_dir)
+        _made[:] = kept + [t for t in TABLES if t not in known]
+        return out
 
     return run
 
@@ -73,10 +75,11 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    _since[0] = len(TABLES)  # what was made before isn't the pipeline's
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = materialize(docs, name)
+            if k:
+                release(before)
     return docs

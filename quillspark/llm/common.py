@@ -76,12 +76,15 @@ def delete(spark: SparkSession, path: str) -> None:
     TABLES.remove(path)
 
 
-def release_all_but(spark: SparkSession, df: DataFrame, since: int = 0) -> None:
-    """Delete the tables made so far (from the number since on) that df doesn't read. For when the results that read the others are written."""
-    if len(TABLES) > since:
-        read = df.inputFiles()
-        for path in [t for t in TABLES[since:] if not any(t.rsplit("/", 1)[-1] in f for f in read)]:
-            delete(spark, path)
+def release_unread(df: DataFrame, paths: list[str]) -> list[str]:
+    """Delete those of the tables that df doesn't read; the others' paths. For when all results that read them are written."""
+    there = [p for p in paths if p in TABLES]
+    read = df.inputFiles() if there else []
+    kept = [p for p in there if any(p.rsplit("/", 1)[-1] in f for f in read)]
+    for p in there:
+        if p not in kept:
+            delete(df.sparkSession, p)
+    return kept
 
 
 def carried(df: DataFrame, *names: str) -> DataFrame:

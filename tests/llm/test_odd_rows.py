@@ -480,6 +480,15 @@ def test_pipeline(spark, tmp_path, odd):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
 
 
+def test_stages_delete_only_tables_of_their_own(spark, odd):
+    docs = odd.select("doc_id", "text", "lang", "source", "n_chars")
+    before = simhash.near_duplicates(docs)  # reads its tables when it is run
+    labels = "/root/testdata/sf0.001"
+    one = corpus_pipeline.near_duplicates(spark, docs, labels)
+    two = corpus_pipeline.secret_scan(spark, one, labels)  # one isn't written, and still read
+    assert two.count() == one.count() > 0 and before.count() == len(ROWS)
+
+
 def test_pipeline_keeps_what_the_stages_say(spark):
     sf = "/root/testdata/sf0.001"
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
