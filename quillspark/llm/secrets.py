@@ -164,7 +164,7 @@ def scan(docs: DataFrame, keep: list[str], costs: list[float]) -> DataFrame:
         spans.append(f"coalesce(transform(filter(transform({k}_m, (m, k) -> struct(get({k}_s, k) AS start, {at} AS kind, get({k}_s, k) + length(m) AS end, {fits} AS fits)), x -> x.fits), x -> struct(x.start, x.kind, x.end)), cast(array() AS array<struct<start:int,kind:int,end:int>>))")
     df = df.select(*keep, "random_m", "random_s", F.expr(f"array_sort(concat({', '.join(spans)}))").alias("base"))
     df = df.select(*keep, "base", F.expr(f"CASE WHEN random_m IS NOT NULL THEN {battery()} END").alias("tested"))
-    table, size = F.lit(costs), len(SYMBOLS)
+    table, size = F.expr(f"array({', '.join(f'{x!r}D' for x in costs)})"), len(SYMBOLS)
 
     def judged(x):
         cost = F.transform(x["symbols"], lambda c, i: F.get(table, F.coalesce(F.get(x["symbols"], i - 1), F.lit(0)) * size + c - 1))
