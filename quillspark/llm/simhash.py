@@ -155,7 +155,10 @@ def links(fingerprints: DataFrame) -> DataFrame:
 
 
 def classes(edges: DataFrame) -> DataFrame:
-    """node, root (the smallest node that it is connected with) for every node of edges (u, v)."""
+    """node, root (the smallest node that it is connected with) for every node of edges (u, v).
+
+    Every step of a round is written before the next one, so that none is planned or run more than once: a
+    round that is one job asks the driver for some fifteen stages at a time."""
     edges = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "edges")
     spark, state = edges.sparkSession, None
     while True:
@@ -164,9 +167,9 @@ def classes(edges: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         state = now
         both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        nodes = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n")), "nodes")
         # Nodes with very many edges, fewer than 2 * HOT_SHARE of them, meet their least neighbour by a broadcast.
-        hot = least.where(F.col("n") * HOT_SHARE > 2 * now[0]).select("u", "m").collect()
+        hot = nodes.where(F.col("n") * HOT_SHARE > 2 * now[0]).select("u", "m").collect()
         known = spark.createDataFrame(hot, "u bigint, m bigint") if hot else None
         is_hot = F.col("u").isin([r.u for r in hot])
 
@@ -175,11 +178,12 @@ def classes(edges: DataFrame) -> DataFrame:
                 return rows.join(table, "u")
             return rows.where(~is_hot).join(table, "u").unionByName(rows.where(is_hot).join(F.broadcast(of_hot), "u"))
 
-        large = met(both, least.select("u", "m"), known).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = materialize(met(both, nodes.select("u", "m"), known).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), "larger")
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = met(large, least, least.where(is_hot)).select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m"))
-        before, edges = edges, materialize(small.where("u != v").distinct(), "edges")
-        release(before)
+        before, edges = edges, materialize(small.where("u != v").distinct(), "edges", drop_shuffles=True)
+        for made in (before, nodes, large, least):
+            release(made)
 
 
 def near_classes(prints: DataFrame) -> DataFrame:
