@@ -12,7 +12,7 @@ import numpy as np
 
 WIDTH, WINDOW, OVERLAP, EXPERTS = 8, 32, 4, 24
 OWN_ROWS, SHARED_ROWS = 2048, 256
-BLOCK = 256  # windows at a time
+BLOCK = 128  # windows at a time, so that a block's numbers stay near the core
 SUM = np.ones((WINDOW, 1), np.float32)  # by a product: faster than sums of short rows
 SUM_EXPERTS = np.ones((EXPERTS, 1), np.float32)
 MASK = np.tril(np.ones((WINDOW, WINDOW), np.float32))
@@ -47,7 +47,7 @@ def windows(lengths: np.ndarray, overlap: int = OVERLAP) -> tuple[np.ndarray, np
 
 def weights(p: dict[str, np.ndarray], rows: np.ndarray, kinds: np.ndarray):
     """Unnormalised weights of the experts after every token, and what the gradient needs."""
-    h = p["tokens"][rows]
+    h = p["tokens"].take(rows, axis=0)
     h += p["places"]
     flat = h.reshape(-1, WIDTH)
     q = (flat @ p["look"]).reshape(h.shape)
@@ -60,7 +60,7 @@ def weights(p: dict[str, np.ndarray], rows: np.ndarray, kinds: np.ndarray):
     z = a @ u
     z += h
     logits = z.reshape(-1, WIDTH) @ p["out"]
-    logits += p["kinds"][kinds.reshape(-1)]
+    logits += p["kinds"].take(kinds.reshape(-1), axis=0)
     np.minimum(logits, 60, out=logits)
     np.exp(logits, out=logits)
     return logits, (h, q, a, u, z)
@@ -75,18 +75,17 @@ def log10_probabilities(p: dict[str, np.ndarray], inputs: tuple[np.ndarray, np.n
         e, _ = weights(p, inputs[0][own], inputs[1][own])
         mask = mask.reshape(-1)
         e, own = e[mask], own.reshape(-1)[mask]
-        out[own] = np.log10(((e * experts[targets[own]]) @ SUM_EXPERTS / (e @ SUM_EXPERTS))[:, 0])
+        out[own] = np.log10(((e * experts.take(targets[own], axis=0)) @ SUM_EXPERTS / (e @ SUM_EXPERTS))[:, 0])
     return out
 
 
 def summed_rows(size: int, which: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Per number below size, the sum of the rows that have it."""
-    out = np.zeros((size, rows.shape[1]), np.float32)
-    order = np.argsort(which.astype(np.uint16), kind="stable")
-    ranked = which[order]
-    starts = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
-    out[ranked[starts]] = np.add.reduceat(rows[order], starts, axis=0)
-    return out
+    width = rows.shape[1]
+    if size <= EXPERTS:  # few: a product
+        return (which[:, None] == np.arange(size, dtype=which.dtype)).astype(np.float32).T @ rows
+    cells = which[:, None] * np.int64(width) + np.arange(width)
+    return np.bincount(cells.reshape(-1), rows.reshape(-1), size * width).reshape(size, width).astype(np.float32)
 
 
 def gradients(p: dict[str, np.ndarray], rows: np.ndarray, kinds: np.ndarray, x: np.ndarray, there: np.ndarray) -> dict[str, np.ndarray]:
@@ -129,7 +128,7 @@ def trained(p: dict[str, np.ndarray], rows: np.ndarray, kinds: np.ndarray, targe
     for step in range(steps):
         chosen = order[step * batch : (step + 1) * batch]
         own = places[chosen]
-        g = gradients(p, rows[own], kinds[own], experts[targets[own].reshape(-1)], there[chosen])
+        g = gradients(p, rows[own], kinds[own], experts.take(targets[own].reshape(-1), axis=0), there[chosen])
         now = np.float32(rate * (1 - step / steps))
         for k in p:
             m, v = first[k], second[k]

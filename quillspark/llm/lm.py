@@ -347,8 +347,9 @@ class Model:
         have, n = self.head
         if not len(have):
             return np.zeros(len(keys), np.int64)
-        at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
-        return np.where(have[at] == keys, n[at], 0)
+        distinct, which = np.unique(keys, return_inverse=True)  # in order: neighbours in the head, and each once
+        at = np.minimum(np.searchsorted(have, distinct), len(have) - 1)
+        return np.where(have[at] == distinct, n[at], 0)[which]
 
 
 LOG10 = 1 / math.log(10)

@@ -439,6 +439,23 @@ def test_attention_learns_from_all_training_texts(spark, monkeypatch):
     assert seen == [sum(not r.held_out for r in rows)]
 
 
+def test_words_are_looked_up_once_each(monkeypatch):
+    model, asked, find = object.__new__(lm.Model), [], np.searchsorted
+    model.head = np.array([1, 3, 5, 7]), np.array([10, 30, 50, 70])
+    monkeypatch.setattr(np, "searchsorted", lambda a, v, *rest, **more: asked.append(len(v)) or find(a, v, *rest, **more))
+    assert model.counts(np.array([5, 9, 5, 3, 2, 9, 5])).tolist() == [50, 0, 50, 30, 0, 0, 50] and asked == [4]
+    assert model.counts(np.empty(0, np.int64)).tolist() == []
+
+
+@pytest.mark.parametrize("size", [attention.EXPERTS, 100])
+def test_summed_rows(size):
+    rng = np.random.default_rng(0)
+    which, rows = rng.integers(0, size - 1, 500).astype(np.int32), rng.standard_normal((500, 8)).astype(np.float32)
+    want = np.zeros((size, 8))
+    np.add.at(want, which, rows)
+    assert np.allclose(attention.summed_rows(size, which, rows), want, atol=1e-4)
+
+
 def test_attention_windows_score_every_token_once():
     lengths = np.array([1, 31, 32, 33, 57, 200])
     places, there, scored = attention.windows(lengths)
