@@ -4,12 +4,12 @@ faces: doc_id, left, top, width, height, score, and where known sharpness and co
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import geometry
+from quillspark.functions.base import computed, let
+from quillspark.schema import BOX
 
 
 def distinct_faces(faces: DataFrame) -> DataFrame:
@@ -21,25 +21,26 @@ def distinct_faces(faces: DataFrame) -> DataFrame:
 
 
 def suppressed(faces: DataFrame, overlap: float = 0.3, least: float = 0.7, most: int = 5000) -> DataFrame:
-    """Faces that no better face of the page overlaps by more than the limit; a fold by score, page by page.
+    """Faces that no better face of the page overlaps by more than the limit; a fold by score, page by page, in the JVM.
 
     Boxes count as whole numbers, at least 1 wide and high; a face must score above least (as a 32-bit number).
     most: of the faces with the highest scores, as many are looked at; a detector's own limit per page, not one of ours."""
+    whole = lambda c: F.when(~F.isnan(c.cast("double")), F.when(c < 0, F.ceil(c.cast("double"))).otherwise(F.floor(c.cast("double"))).cast("double"))
+    sides = [*[whole(F.col(k)).alias(f"_{k[0]}") for k in ("left", "top")], *[F.when(F.col(k).isNotNull(), F.greatest(F.lit(1.0), whole(F.col(k)))).alias(f"_{k[0]}") for k in ("width", "height")]]
+    rows = faces.where(F.col("score").cast("float") > F.lit(least).cast("float"))
+    own = F.struct(*faces.columns)
+    ranked = F.struct((-F.col("score")).alias("_s"), F.col("order").isNull().alias("_none"), F.col("order").alias("_o"), *sides, own.alias("_face"))
+    limit = F.lit(overlap).cast("float").cast("double")
 
-    def keep(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["score", "order"], ascending=[False, True], kind="stable").head(most).reset_index(drop=True)
-        x, y = (np.trunc(f[k].to_numpy(float)) for k in ("left", "top"))
-        w, h = (np.maximum(1, np.trunc(f[k].to_numpy(float))) for k in ("width", "height"))
-        left, alive = np.ones(len(f), bool), []
-        for i in range(len(f)):
-            if not left[i]:
-                continue
-            alive.append(i)
-            both = np.clip(np.minimum(x + w, x[i] + w[i]) - np.maximum(x, x[i]), 0, None) * np.clip(np.minimum(y + h, y[i] + h[i]) - np.maximum(y, y[i]), 0, None)
-            left &= ~(both > np.float32(overlap) * (w * h + w[i] * h[i] - both))
-        return f.iloc[alive]
+    def covers(a, b):
+        side = lambda at, size: F.greatest(F.lit(0.0), F.least(a[at] + a[size], b[at] + b[size]) - F.greatest(a[at], b[at]))
+        both = side("_l", "_w") * side("_t", "_h")
+        known = (a["_l"] + a["_t"] + a["_w"] + a["_h"] + b["_l"] + b["_t"] + b["_w"] + b["_h"]).isNotNull()
+        return known & (both > limit * (a["_w"] * a["_h"] + b["_w"] * b["_h"] - both))
 
-    return faces.where(F.col("score").cast("float") > F.lit(least).cast("float")).groupBy("doc_id").applyInPandas(keep, faces.schema)
+    pages = rows.groupBy("doc_id").agg(F.slice(F.sort_array(F.collect_list(ranked)), 1, most).alias("_f"))
+    kept = F.aggregate("_f", F.slice("_f", 1, 0), lambda out, f: F.when(F.exists(out, lambda k: covers(k, f)), out).otherwise(F.concat(out, F.array(f))))
+    return pages.select(F.explode(kept).alias("_k")).select("_k._face.*")
 
 
 def as_box(df: DataFrame) -> DataFrame:
@@ -55,25 +56,38 @@ def text_penalty(boxes: DataFrame, words: DataFrame, key: list[str], name: str =
     return boxes.join(sums, ["doc_id", *key], "left").withColumn(name, geometry.overlap_penalty(n, a, F.col("box"))).drop("_n", "_area")
 
 
-def preferred_side(documents: DataFrame, words: DataFrame) -> DataFrame:
-    """doc_id, side: where a document (doc_id, document) has less text, if that is clear."""
-    left, right = geometry.portrait_regions(F.col("document"))
-    sides = documents.where("document IS NOT NULL").select("doc_id", F.explode(F.array(F.struct(F.lit("left").alias("side"), left.alias("box")), F.struct(F.lit("right").alias("side"), right.alias("box")))).alias("s")).select("doc_id", "s.side", "s.box")
-    by = text_penalty(sides, words, ["side"]).groupBy("doc_id").agg(F.max(F.when(F.col("side") == "left", F.col("penalty"))).alias("l"), F.max(F.when(F.col("side") == "right", F.col("penalty"))).alias("r"))
-    return by.select("doc_id", F.when(F.abs(F.col("l") - F.col("r")) >= 0.6, F.when(F.col("l") < F.col("r"), "left").otherwise("right")).alias("side"))
+def penalty_of(box: Column, boxes: Column) -> Column:
+    """The same of a box, by its page's array of words' boxes."""
+    areas = F.filter(F.transform(boxes, lambda b: geometry.overlap_area(box, b)), lambda x: x > 0)
+    return let(areas, lambda a: geometry.overlap_penalty(F.size(a), F.aggregate(a, F.lit(0.0), lambda s, x: s + x), box))
+
+
+def preferred_side(document: Column, boxes: Column) -> Column:
+    """Where a document has less text, if that is clear."""
+    sides = F.array(*[penalty_of(r, boxes) for r in geometry.portrait_regions(document)])
+    return F.when(document.isNotNull(), let(sides, lambda p: F.when(F.abs(p[0] - p[1]) >= 0.6, F.when(p[0] < p[1], "left").otherwise("right"))))
 
 
 def portraits(faces: DataFrame, pages: DataFrame, words: DataFrame) -> DataFrame:
     """doc_id, face, portrait, score: the face that does best on each page(doc_id, image_width, image_height)."""
     by_page = words.groupBy("doc_id").agg(F.collect_list("bbox").alias("boxes"))
-    pages = pages.join(by_page, "doc_id", "left")
-    pages = pages.withColumn("document", geometry.document_box(F.col("boxes"), F.col("image_width"), F.col("image_height"))).drop("boxes")
-    pages = pages.join(preferred_side(pages.select("doc_id", "document"), words), "doc_id", "left")
-    rows = as_box(faces).join(pages, "doc_id")
+    return portraits_on(faces, pages.join(by_page, "doc_id", "left").withColumn("boxes", F.coalesce("boxes", F.array().cast(f"array<{BOX}>"))))
+
+
+def portraits_on(faces: DataFrame, pages: DataFrame) -> DataFrame:
+    """The same on pages that have their words' boxes as an array: words are neither shuffled nor joined."""
+    doc = geometry.document_box(F.col("boxes"), F.col("image_width"), F.col("image_height"))
+    pages = computed(pages, document=doc)
+    pages = computed(pages, side=preferred_side(F.col("document"), F.col("boxes")))
+    own = [c for c in faces.columns if c != "doc_id"]
+    by_doc = faces.groupBy("doc_id").agg(F.collect_list(F.struct(*own)).alias("_faces"))
+    # The penalties are taken before faces part from their page.
+    face = lambda f: geometry.box(f["left"], f["top"], f["left"] + f["width"], f["top"] + f["height"])
+    made = lambda f: F.struct(f.alias("f"), let(geometry.portrait_box(face(f), F.col("image_width"), F.col("image_height")), lambda p: penalty_of(p, F.col("boxes"))).alias("penalty"))
+    pages = pages.join(by_doc, "doc_id").select("doc_id", "image_width", "image_height", "document", "side", F.explode(F.transform("_faces", made)).alias("_x"))
+    rows = as_box(pages.select("*", "_x.f.*", "_x.penalty").drop("_x"))
     w, h, doc = F.col("image_width"), F.col("image_height"), F.col("document")
     rows = rows.withColumn("portrait", geometry.portrait_box(F.col("face"), w, h)).withColumn("inside", geometry.in_portrait_region(F.col("face"), doc))
-    rows = rows.withColumn("box", F.col("portrait"))
-    rows = text_penalty(rows, words, ["order"])
     pixel = lambda k: F.coalesce(k, F.lit(0.0)) if k in faces.columns else F.lit(0.0)
     rows = rows.withColumn("score", geometry.face_score(F.col("face"), w, h, doc, F.col("side"), pixel("sharpness"), pixel("contrast"), F.col("penalty")))
     # Faces off the usual places count only where there is no other.
