@@ -16,35 +16,40 @@ def json_value(c: Column) -> Column:
 
     The parser stops at the end of a value and ignores what follows, so the text is parsed as the first
     of two elements of an array: then anything that follows it shows."""
-    parsed = F.try_parse_json(F.concat(F.lit("["), c, F.lit(",7]")))
-    at = lambda k, t: F.try_variant_get(parsed, f"$[{k}]", t)
-    return F.when((at(1, "int") == 7) & at(2, "variant").isNull(), at(0, "variant"))
+    at = lambda v, k, t: F.try_variant_get(v, f"$[{k}]", t)
+    return let(F.try_parse_json(F.concat(F.lit("["), c, F.lit(",7]"))), lambda v: F.when((at(v, 1, "int") == 7) & at(v, 2, "variant").isNull(), at(v, 0, "variant")))
+
+
+def is_object(v: Column) -> Column:
+    return F.schema_of_variant(v).startswith("OBJECT")
 
 
 def json_object(c: Column) -> Column:
     """The text as a variant if it is a JSON object, else null."""
-    v = json_value(c)
-    return F.when(F.schema_of_variant(v).startswith("OBJECT"), v)
+    return let(json_value(c), lambda v: F.when(is_object(v), v))
 
 
 def _inner(c: Column) -> Column:
     """gt_parse of the object; where it lacks one, of the object in the string ground_truth."""
-    outer = json_object(c)
-    nested = json_object(F.try_variant_get(outer, "$.ground_truth", "string"))
-    has = F.try_variant_get(outer, "$.gt_parse", "variant")
-    # An object there would cast to text as well, so its own type decides.
-    is_text = F.schema_of_variant(F.try_variant_get(outer, "$.ground_truth", "variant")) == "STRING"
-    return F.when(has.isNotNull(), has).otherwise(F.when(is_text, F.try_variant_get(nested, "$.gt_parse", "variant")))
+
+    def of(outer):
+        # An object there would cast to text as well, so its own type decides.
+        is_text = F.schema_of_variant(F.try_variant_get(outer, "$.ground_truth", "variant")) == "STRING"
+        nested = json_object(F.try_variant_get(outer, "$.ground_truth", "string"))
+        has = F.try_variant_get(outer, "$.gt_parse", "variant")
+        return F.when(has.isNotNull(), has).otherwise(F.when(is_text, F.try_variant_get(nested, "$.gt_parse", "variant")))
+
+    # Bound, so that each text is parsed once and not once per use.
+    return let(json_object(c), of)
 
 
 def fields(c: Column) -> Column:
     """The fixed fields of a record's payload, as a struct of strings; what is missing or null is empty."""
 
     def read(inner):
-        value = lambda f: F.try_variant_get(F.when(F.schema_of_variant(inner).startswith("OBJECT"), inner), f"$.{f}", "string")
-        return F.struct(*[F.coalesce(value(f), F.lit("")).alias(f) for f in FIELDS])
+        return F.struct(*[F.coalesce(F.try_variant_get(inner, f"$.{f}", "string"), F.lit("")).alias(f) for f in FIELDS])
 
-    return let(_inner(c), read)
+    return let(let(_inner(c), lambda v: F.when(is_object(v), v)), read)
 
 
 def active_fields(extracted: Column, reviewed: Column) -> Column:
@@ -63,15 +68,16 @@ def rescued(c: Column) -> Column:
 
 def model_fields(c: Column) -> Column:
     """The fields of a model's output: unwrapped, codes in upper case, dates as ISO."""
-    v = rescued(c)
-    inner = F.try_variant_get(v, "$.gt_parse", "variant")
-    source = F.when(F.schema_of_variant(inner).startswith("OBJECT"), inner).otherwise(v)
+    unwrapped = lambda v: let(F.try_variant_get(v, "$.gt_parse", "variant"), lambda inner: F.when(is_object(inner), inner).otherwise(v))
+
+    def read(source):
+        def field(f):
+            x = stripped(F.coalesce(F.try_variant_get(source, f"$.{f}", "string"), F.lit("")))
+            return F.upper(x) if f in CODE_FIELDS else output_date(x) if f in DATE_FIELDS else x
 
-    def field(f):
-        x = stripped(F.coalesce(F.try_variant_get(source, f"$.{f}", "string"), F.lit("")))
-        return F.upper(x) if f in CODE_FIELDS else output_date(x) if f in DATE_FIELDS else x
+        return F.struct(*[field(f).alias(f) for f in FIELDS])
 
-    return F.struct(*[field(f).alias(f) for f in FIELDS])
+    return let(let(rescued(c), unwrapped), read)
 
 
 def double_encoded(file_name: Column, struct: Column) -> Column:
@@ -90,13 +96,15 @@ def blanked(entry: Column, new_name: Column, key: str = "personal_number") -> Co
         truth = F.when(F.schema_of_variant(F.try_variant_get(outer, "$.ground_truth", "variant")) == "STRING", F.try_variant_get(outer, "$.ground_truth", "string"))
 
         def emptied(inner):
-            parsed = F.try_variant_get(inner, "$.gt_parse", "variant")
-            blank = F.to_json(F.map_concat(others(members(parsed), key), one(key, F.lit(""))))
-            whole = F.map_concat(others(members(inner), "gt_parse"), F.create_map(F.lit("gt_parse"), F.parse_json(blank)))
-            return F.when(F.schema_of_variant(parsed).startswith("OBJECT"), F.to_json(whole))
+            def whole(parsed):
+                blank = F.to_json(F.map_concat(others(members(parsed), key), one(key, F.lit(""))))
+                return F.when(is_object(parsed), F.to_json(F.map_concat(others(members(inner), "gt_parse"), F.create_map(F.lit("gt_parse"), F.parse_json(blank)))))
+
+            return let(F.try_variant_get(inner, "$.gt_parse", "variant"), whole)
 
         named = F.map_concat(others(members(outer), "file_name"), one("file_name", new_name))
-        return let(let(json_object(truth), emptied), lambda t: F.to_json(F.when(t.isNull(), named).otherwise(F.map_concat(others(named, "ground_truth"), one("ground_truth", t)))))
+        whole = lambda t: let(named, lambda m: F.to_json(F.when(t.isNull(), m).otherwise(F.map_concat(others(m, "ground_truth"), one("ground_truth", t)))))
+        return let(let(json_object(truth), emptied), whole)
 
     return let(json_object(entry), lambda outer: F.when(outer.isNotNull(), made(outer)))
 

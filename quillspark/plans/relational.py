@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import jsonx, text
 from quillspark.operators import ingest, records, review
-from quillspark.plans.registry import query, read
+from quillspark.plans.registry import query, read, spread
 from quillspark.schema import FIELDS
 from quillspark.sources import sinks
 
@@ -81,7 +81,7 @@ def code_options(spark, sf):
 
 def customer_records(spark, sf):
     """Records whose payloads are missing, unreadable, plain or encoded twice, by key."""
-    c = read(spark, sf, "customer")
+    c = spread(read(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment"), "c_custkey")
     k = F.col("c_custkey")
     plain = F.concat(F.lit('{"gt_parse": {"surname": "'), F.col("c_name"), F.lit('", "sex": null, "personal_number": "'), k.cast("string"), F.lit('"}}'))
     twice = F.concat(F.lit('{"file_name": "f", "ground_truth": "{\\"gt_parse\\": {\\"surname\\": \\"R '), F.col("c_name"), F.lit('\\", \\"given_names\\": \\" '), F.col("c_mktsegment"), F.lit('\\"}}"}'))
@@ -127,7 +127,7 @@ def record_detail(spark, sf):
 
 @query("SELECT c_custkey AS id, 'R ' || c_name AS surname, '' AS personal_number, c_custkey || '_mask.jpg' AS file_name FROM customer")
 def blank_private_field(spark, sf):
-    c = read(spark, sf, "customer")
+    c = spread(read(spark, sf, "customer").select("c_custkey", "c_name"), "c_custkey")
     inner = F.to_json(F.struct(F.struct(F.concat(F.lit("R "), "c_name").alias("surname"), F.col("c_custkey").cast("string").alias("personal_number")).alias("gt_parse")))
     entry = F.to_json(F.struct(F.concat(F.col("c_custkey").cast("string"), F.lit(".jpg")).alias("file_name"), inner.alias("ground_truth")))
     rows = c.select(F.col("c_custkey").alias("id"), entry.alias("entry"))
