@@ -59,14 +59,24 @@ def document_box(boxes: Column, width: Column, height: Column) -> Column:
     return let(F.filter(boxes, lambda b: (b["width"] > 0) & (b["height"] > 0)), lambda real: _padded(real, width, height))
 
 
+def document_agg(b: Column, width: Column, height: Column) -> Column:
+    """The same as an aggregate over rows."""
+    only = lambda c: F.when((b["width"] > 0) & (b["height"] > 0), c)
+    return _around(F.min(only(b["left"])), F.min(only(b["top"])), F.max(only(b["left"] + b["width"])), F.max(only(b["top"] + b["height"])), width, height)
+
+
 def _padded(real: Column, width: Column, height: Column) -> Column:
-    left, top = F.array_min(F.transform(real, lambda b: b["left"])), F.array_min(F.transform(real, lambda b: b["top"]))
-    right = F.array_max(F.transform(real, lambda b: b["left"] + b["width"]))
-    bottom = F.array_max(F.transform(real, lambda b: b["top"] + b["height"]))
+    low = lambda k: F.array_min(F.transform(real, lambda b: b[k])).alias(k)
+    far = lambda k, size: F.array_max(F.transform(real, lambda b: b[k] + b[size]))
+    sides = F.struct(low("left"), low("top"), far("left", "width").alias("right"), far("top", "height").alias("bottom"))
+    return let(sides, lambda s: F.when(F.size(real) > 0, _around(s["left"], s["top"], s["right"], s["bottom"], width, height)))
+
+
+def _around(left: Column, top: Column, right: Column, bottom: Column, width: Column, height: Column) -> Column:
     w, h = F.greatest(F.lit(1.0), (right - left).cast("double")), F.greatest(F.lit(1.0), (bottom - top).cast("double"))
     a, b = F.greatest(F.lit(0), rounded(left - w * 0.12)), F.greatest(F.lit(0), rounded(top - h * 0.1))
     c, d = F.least(width, rounded(right + w * 0.08)), F.least(height, rounded(bottom + h * 0.12))
-    return F.when((F.size(real) > 0) & (c > a) & (d > b), box(a, b, c, d))
+    return F.when(left.isNotNull() & (c > a) & (d > b), box(a, b, c, d))
 
 
 def center_x(b: Column) -> Column:

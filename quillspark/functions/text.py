@@ -109,19 +109,26 @@ def boxed_tokens(text: Column, box: Column) -> Column:
     """The tokens of a line with their share of its box: array of (text, bbox as four integers).
 
     The pieces between tokens give the offsets; ratios are rounded half to even."""
-    upper = F.upper(text)
-    found = F.regexp_extract_all(upper, F.lit(TOKEN), F.lit(0))
-    between = F.split(upper, TOKEN, -1)
+    # Found and between are bound, for a lambda would make them anew for every token; a text that is one token needs no offsets.
+    return let(F.upper(text), lambda upper: F.when(upper.rlike(f"^{TOKEN}$"), _one_token(upper, box)).otherwise(let(F.regexp_extract_all(upper, F.lit(TOKEN), F.lit(0)), lambda found: _boxed(upper, found, box))))
+
+
+def _one_token(upper: Column, box: Column) -> Column:
+    right = F.greatest(box["left"] + 1, box["left"] + box["width"])
+    return F.array(F.struct(upper.alias("text"), F.array(box["left"], box["top"], right, box["top"] + box["height"]).alias("bbox")))
+
+
+def _boxed(upper: Column, found: Column, box: Column) -> Column:
     total = F.greatest(F.length(upper), F.lit(1))
 
-    def token(t, k):
+    def token(between, t, k):
         before = F.aggregate(F.slice(between, 1, k + 1), F.lit(0), lambda a, x: a + F.length(x))
         start = before + F.aggregate(F.slice(found, 1, k), F.lit(0), lambda a, x: a + F.length(x))
         left = box["left"] + F.rint(box["width"] * (start / total)).cast("int")
         right = box["left"] + F.rint(box["width"] * ((start + F.length(t)) / total)).cast("int")
         return F.struct(t.alias("text"), F.array(left, box["top"], F.greatest(left + 1, right), box["top"] + box["height"]).alias("bbox"))
 
-    return F.transform(found, token)
+    return let(F.split(upper, TOKEN, -1), lambda between: F.transform(found, lambda t, k: token(between, t, k)))
 
 
 def match_token(c: Column) -> Column:

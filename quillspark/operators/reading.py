@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import geometry
+from quillspark.functions.base import computed
 
 
 def line_starts(boxes: Column, tolerance: Column) -> Column:
@@ -23,16 +24,27 @@ def line_starts(boxes: Column, tolerance: Column) -> Column:
 
 
 def in_reading_order(entries: DataFrame, key: str = "doc_id", nth: str = "nth") -> DataFrame:
-    """entries(key, nth, left, top, right, bottom, ...) with line and position (both from 1).
-
-    A page's entries are folded together; only their boxes are collected, a page's worth in a row."""
-    height = F.greatest(F.lit(1), F.col("bottom") - F.col("top"))
-    pages = entries.groupBy(key).agg(F.median(height).alias("m"), F.sort_array(F.collect_list(F.struct(F.col("top").cast("int").alias("top"), F.col("left").cast("int").alias("left"), F.col(nth).alias("nth")))).alias("boxes"))
-    pages = pages.withColumn("starts", line_starts(F.col("boxes"), F.greatest(F.lit(10), F.floor(F.col("m") * 0.6))))
-    lines = F.transform("starts", lambda s, k: F.slice("boxes", s, F.coalesce(F.get("starts", k + 1), F.size("boxes") + 1) - s))
-    flat = pages.select(key, F.posexplode(lines).alias("line", "own")).select(key, "line", F.explode("own").alias("z")).select(key, F.col("z.nth").alias(nth), (F.col("line") + 1).alias("line"))
-    rows = entries.join(flat, [key, nth])
-    return rows.withColumn("position", F.row_number().over(Window.partitionBy(key).orderBy("line", "left", "top", nth)))
+    """entries(key, nth, left, top, right, bottom, ...) with line and position (both from 1)."""
+    own = [c for c in entries.columns if c != key]
+    return pages_in_order(entries.groupBy(key).agg(F.collect_list(F.struct(*own)).alias("entries")), key, nth)
+
+
+def pages_in_order(pages: DataFrame, key: str = "doc_id", nth: str = "nth") -> DataFrame:
+    """The same of pages(key, entries: an array of them). A page's entries are folded together in their row: they aren't
+    joined or windowed, and shuffled only by who collects them."""
+    heights = F.sort_array(F.transform("entries", lambda e: F.greatest(F.lit(1), e["bottom"] - e["top"])))
+    placed = F.sort_array(F.transform("entries", lambda e: F.struct(e["top"].cast("int").alias("top"), e["left"].cast("int").alias("left"), e[nth].alias("nth"), e.alias("e"))))
+    pages = computed(pages, _heights=heights, _boxes=placed).drop("entries")
+    at = lambda k: F.get("_heights", k.cast("int"))
+    n = F.size("_heights")
+    pages = computed(pages, _m=(at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2.0)
+    boxes = F.transform("_boxes", lambda b: F.struct(b["top"].alias("top"), b["left"].alias("left"), b["nth"].alias("nth")))
+    pages = computed(pages, _starts=line_starts(boxes, F.greatest(F.lit(10), F.floor(F.col("_m") * 0.6))))
+    line = lambda s, k: F.slice("_boxes", s, F.coalesce(F.get("_starts", k + 1), F.size("_boxes") + 1) - s)
+    across = lambda b, k: F.struct(b["e"]["left"].alias("left"), b["e"]["top"].alias("top"), b["nth"].alias("nth"), (k + 1).alias("line"), b["e"].alias("e"))
+    ordered = F.flatten(F.transform("_starts", lambda s, k: F.sort_array(F.transform(line(s, k), lambda b: across(b, k)))))
+    rows = pages.select(key, F.posexplode(ordered).alias("_at", "_z"))
+    return rows.select(key, "_z.e.*", F.col("_z.line").alias("line"), (F.col("_at") + 1).alias("position"))
 
 
 def numbered(entries: DataFrame, prefix: str, digits: int, position: str = "position") -> DataFrame:
